@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,12 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with reliable storage in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, from ``spark.checkpoint.dir``."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again: computed once, compact, and no lineage behind it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names; columns of any other name cannot clash. Null texts become empty."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -48,12 +62,13 @@ def slabs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SL
         start = 0
         lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()
         for i, n in enumerate(lengths):
+            n = n or 0
             if size and size + n > limit:
                 if i > start:
                     held.append(batch.slice(start, i - start))
                 yield pa.Table.from_batches(held)
                 held, size, start = [], 0, i
-            size += n or 0
+            size += n
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:
