@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import dedup_spans
+from .suffix_dedup import dedup_bytes
 from .token_counts import count_tokens
 
 
@@ -34,6 +35,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_counts, op4_bpe_codec, op6_quality_rules, op8_benchmark_decontamination, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_counts, op4_bpe_codec, op5_suffix_array_dedup, op6_quality_rules, op8_benchmark_decontamination, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": DECONTAMINATION_SQL}
