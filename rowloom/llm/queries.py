@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .common import table
 from .decontaminate import ORACLE_SQL as DECONTAMINATION_SQL
 from .decontaminate import contamination
+from .lm_score import score_documents
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import dedup_spans
@@ -47,10 +48,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_counts, op4_bpe_codec, op5_suffix_array_dedup, op6_quality_rules, op8_benchmark_decontamination, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_counts, op4_bpe_codec, op5_suffix_array_dedup, op6_quality_rules, op8_benchmark_decontamination, op9_lm_scoring, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": DECONTAMINATION_SQL}

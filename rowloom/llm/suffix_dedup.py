@@ -15,17 +15,16 @@ Only hashes, repeated stretches and verdicts travel besides the texts. Tables be
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, narrow, slabs, stored, with_key
+from .common import emit, narrow, release, slabs, stored, with_key
 from .suffix_array import STOP, equal_runs, suffix_array
 
 CORE = 32
@@ -250,12 +249,6 @@ def removed(text: bytes, found: dict[int, tuple[int | None, bytes | None]], size
     return np.cumsum(edge[:-1]) > 0
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
