@@ -11,11 +11,13 @@ from .common import table
 from .decontaminate import ORACLE_SQL as DECONTAMINATION_SQL
 from .decontaminate import contamination
 from .lm_score import score_documents
+from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import dedup_spans
 from .suffix_dedup import dedup_bytes
 from .token_counts import count_tokens
+from .url_filter import filter_urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
 
@@ -44,6 +50,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +66,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_counts, op4_bpe_codec, op5_suffix_array_dedup, op6_quality_rules, op8_benchmark_decontamination, op9_lm_scoring, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_substring_dedup,
+        op3_token_counts,
+        op4_bpe_codec,
+        op5_suffix_array_dedup,
+        op6_quality_rules,
+        op7_quality_classifier,
+        op8_benchmark_decontamination,
+        op9_lm_scoring,
+        op10_simhash_near_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": DECONTAMINATION_SQL}
