@@ -26,7 +26,7 @@ from .quality_rules import RATIOS, measure
 
 SIZES = (4, 5, 6, 8)
 BUCKET_BITS = 20
-SLAB = 3_000_000
+SLAB = 1_000_000
 MULTIPLIER = 0x9E3779B1
 BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
 SOURCES, LANGS, LENGTHS = 256, 32, 24
