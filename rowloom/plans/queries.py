@@ -411,7 +411,7 @@ def join_reversed_operands(t):
     return left.join(right, lambda j: j.all(j.gt(j.right(y), j.left(x)), j.gte(j.eval(lambda: 7), j.left(x))), lambda s: s.left_field(a).right_field(b))
 
 
-@query(f"SELECT a, b {_SIDES} coalesce(x, -1) >= coalesce(y - 1, -1) AND coalesce(x, -1) <= coalesce(y + 2, -1)")
+@query(f"SELECT a, b {_SIDES} coalesce(x, -99) >= coalesce(y - 1, -99) AND coalesce(x, -99) <= coalesce(y + 2, -99)")
 def join_between(t):
     left, right, a, b, x, y = _nullable_sides(t)
     return left.join(right, lambda j: j.between(j.left(x), j.right(lambda r: r[y] - 1), j.right(lambda r: r[y] + 2)), lambda s: s.left_field(a).right_field(b))
