@@ -168,6 +168,17 @@ def variant_links(fps: DataFrame) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def rooted(docs: DataFrame) -> DataFrame:
+    """The columns of near_duplicates and root: a fingerprint of the component's own, which it has whatever its doc_ids are."""
+    fps = checkpoint(fingerprints(docs))
+    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(variant_links(distinct.select("fp")))
+    roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = roots.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(ids, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key, fingerprint (16 hex digits), component_id.
 
@@ -176,19 +187,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other; repeated rows share everything; a null doc_id never becomes a component_id unless its component has no other; empty
     tables give no rows; further columns are ignored. row_key identifies (doc_id, text).
     """
-    fps = checkpoint(fingerprints(docs))
-    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(variant_links(distinct.select("fp")))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted(docs).drop("root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: that of its smallest doc_id (ties: of the smallest row_key), all columns kept."""
-    found = near_duplicates(docs)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    first = rooted(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
     keyed = docs.withColumn("__row_key", F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit(""))))
     kept = keyed.join(first.select(F.col("first.row_key").alias("__row_key")).distinct().hint("merge"), "__row_key", "left_semi")
     return kept.dropDuplicates(["__row_key"]).drop("__row_key")

@@ -94,5 +94,13 @@ def test_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_unrelated_rows_without_doc_id_all_stay(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(6)]
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (7, texts[1])]
+    kept = keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, t) for t in texts if t != texts[1]] + [(7, texts[1])], key=str)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
