@@ -1,16 +1,16 @@
 """Language-model scores from a hierarchical Pitman-Yor process over words.
 
-Two levels of restaurants: one for each context, which is a class of the word before (texts begin in a context of their own),
-and their common parent, the restaurant of all words, whose base gives each of the V known words and one class of all unknown
-words the same share. Customers of a context restaurant are the training tokens seen there; its tables are customers of the
-parent. Seating is sampled by Gibbs: each dish's customers leave one context restaurant and are seated anew, given the tables
-of its other restaurants; totals over all dishes follow from sweep to sweep. Predictive probabilities are averaged over the
-last samples.
-
-Everything is counted over all training documents. Word counts are merged where words are dealt to; sweeps work on that table
-in place. For scoring, documents are dealt into blocks of bounded volume; a block asks once for each distinct word it holds,
-and gets back the word's counts and tables, so that frequent words cost a row for each block, not for each token. Words travel
-as 64-bit hashes.
+Three levels of restaurants: one for each word that comes before another one (texts begin in that of the end); above them one
+for each class of such words; and their common parent, the restaurant of all words, whose base gives each of the V known words
+and one class of all unknown words the same share. Customers of a word's restaurant are the training tokens seen after it; its
+tables are customers of its class, whose tables are customers of the parent. Pairs are seated once, from a table for each
+distinct pair on; the levels above are sampled by Gibbs: each dish's customers leave one restaurant and are seated anew, given
+the tables of its other restaurants; totals over all dishes follow from sweep to sweep. Predictive probabilities are averaged
+over the last samples.
+
+Everything is counted over all training documents. Pairs are merged where their second word is dealt to, and seated where the
+first one is. For scoring, documents are dealt into blocks of bounded volume; a block asks once for each distinct word and pair
+it holds, so that frequent ones cost a row for each block, not for each token. Words travel as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -75,46 +75,70 @@ def unpacked(words: np.ndarray, column: pa.Array | pa.ChunkedArray) -> tuple[np.
     return np.repeat(np.arange(len(words)), sizes), np.frombuffer(b"".join(values), dtype=ENTRY)
 
 
-def merged(word: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum equal (word, k): distinct words, entries in their order, entries of each."""
-    order = np.lexsort((k, word))
-    word, k, n = word[order], k[order], n[order]
-    new = np.append(True, (word[1:] != word[:-1]) | (k[1:] != k[:-1])) if len(word) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    entries = np.zeros(len(at), dtype=ENTRY)
-    entries["k"], entries["n"] = k[at], np.add.reduceat(n, at) if len(at) else 0
-    words, sizes = np.unique(word[at], return_counts=True)
-    return words, entries, sizes
+PAIR = np.dtype([("u", "<i8"), ("k", "u1"), ("n", "<u4")])
+PAIRS = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("k", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), ("r", pa.int32())])
 
 
-COUNTED = pa.schema([("w", pa.int64()), ("entries", pa.binary())])
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(w, entries): the training tokens of each word by context."""
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """(u, w, k, n, m, r): the n training tokens w after the word u of class k; m words of class k come before w, of r classes."""
+    packed = pa.schema([("w", pa.int64()), ("entries", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slabs(batches, limit=SLAB):
             vocabulary, at, before, _ = tokens(t.column("text").to_pylist())
-            pair, n = np.unique(at * CONTEXTS + before, return_counts=True)
-            word, rows = np.unique(pair // CONTEXTS, return_counts=True)
-            entries = np.zeros(len(pair), dtype=ENTRY)
-            entries["k"], entries["n"] = pair % CONTEXTS, n
+            classes = np.zeros(len(vocabulary), dtype=np.uint8)
+            classes[at[:-1]] = before[1:]
+            pair, n = np.unique(at * len(vocabulary) + np.append(0, at[:-1]), return_counts=True)
+            word, rows = np.unique(pair // len(vocabulary), return_counts=True)
             hashes = np.array([word_hash(x) for x in vocabulary], dtype=np.int64)
-            yield from emit({"w": hashes[word], "entries": binaries(entries, rows)}, COUNTED)
+            first = pair % len(vocabulary)
+            entries = np.zeros(len(pair), dtype=PAIR)
+            entries["u"], entries["k"], entries["n"] = hashes[first], classes[first], n
+            yield from emit({"w": hashes[word], "entries": binaries(entries, rows)}, packed)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        words, entries = [], []
         for batch in batches:
-            words = batch.column(0).to_numpy()
-            row, e = unpacked(words, batch.column(1))
-            parts.append((words[row], e["k"].copy(), e["n"].astype(np.int64)))
-        if parts:
-            words, entries, sizes = merged(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-            yield from emit({"w": words, "entries": binaries(entries, sizes)}, COUNTED)
+            values = batch.column(1).to_pylist()
+            words.append(np.repeat(batch.column(0).to_numpy(), [len(x) // PAIR.itemsize for x in values]))
+            entries.append(np.frombuffer(b"".join(values), dtype=PAIR))
+        if not words:
+            return
+        w, e = np.concatenate(words), np.concatenate(entries)
+        order = np.lexsort((e["u"], e["k"], w))
+        w, e = w[order], e[order]
+        new = np.append(True, (w[1:] != w[:-1]) | (e["u"][1:] != e["u"][:-1]))
+        at = np.flatnonzero(new)
+        n = np.add.reduceat(e["n"].astype(np.int64), at)
+        w, u, k = w[at], e["u"][at], e["k"][at].astype(np.int32)
+        other = np.append(True, w[1:] != w[:-1])
+        classes, place, m = np.unique((np.cumsum(other) - 1) * CONTEXTS + k, return_inverse=True, return_counts=True)
+        r = np.bincount(classes // CONTEXTS)[np.cumsum(other) - 1].astype(np.int32)
+        yield from emit({"u": u, "w": w, "k": k, "n": n, "m": m[place], "r": r}, PAIRS)
 
     training = docs.where(f"not {HELD_OUT}").select("text")
-    return stored(training.mapInArrow(count, "w long, entries binary").repartition("w").mapInArrow(merge, "w long, entries binary"))
+    return stored(training.mapInArrow(count, "w long, entries binary").repartition("w").mapInArrow(merge, "u long, w long, k int, n long, m long, r int"))
+
+
+def by_word(pairs: DataFrame, customers: str) -> DataFrame:
+    """(w, entries, count): the customers of each word in the restaurant of each class, and its tokens."""
+    schema = pa.schema([("w", pa.int64()), ("entries", pa.binary()), ("count", pa.int64())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.stack([batch.column(2 + x).to_numpy() for x in range(CONTEXTS)], axis=1)
+            row, k = np.nonzero(n)
+            entries = np.zeros(len(row), dtype=ENTRY)
+            entries["k"], entries["n"] = k, n[row, k]
+            yield from emit({"w": batch.column(0), "entries": binaries(entries, np.bincount(row, minlength=len(n))), "count": batch.column(1)}, schema)
+
+    sums = [F.sum(F.when(F.col("k") == x, F.col(customers)).otherwise(0)).alias(f"k{x}") for x in range(CONTEXTS)]
+    return stored(pairs.groupBy("w").agg(F.sum("n").alias("count"), *sums).mapInArrow(pack, "w long, entries binary, count long"))
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(w, entries, count): the training tokens of each word by class, and all of them."""
+    return by_word(count_pairs(docs), "n")
 
 
 class Totals:
@@ -166,6 +190,52 @@ def seating(row: np.ndarray, k: np.ndarray, n: np.ndarray, rows: int, totals: To
     return t, c0, t0
 
 
+def least_seating(pairs: DataFrame) -> tuple[Totals, float, int]:
+    """With a table for each distinct pair: what classes and parent hold; the discount of the words' restaurants; all tokens."""
+    one = lambda c, x: F.when(F.col(c) == x, 1.0).otherwise(0.0)
+    sums = {"n": F.lit(1.0), "t": 1 / F.col("m"), "once": one("m", 1), "twice": one("m", 2) / 2, "v": 1 / F.col("m") / F.col("r"), "root_once": one("r", 1) / F.col("m"), "root_twice": one("r", 2) / F.col("m") / 2, "pair_once": one("n", 1), "pair_twice": one("n", 2), "tokens": F.col("n")}
+    found = pairs.groupBy("k").agg(*[F.sum(x).alias(c) for c, x in sums.items()]).collect()  # a row for each class
+    x = {c: np.zeros(CONTEXTS) for c in sums}
+    for row in found:
+        for c in sums:
+            x[c][row.k] = row[c]
+    whole = {c: float(v.sum()) for c, v in x.items()}
+    totals = Totals(round(whole["v"]), x["n"], np.round(x["t"]), float(round(whole["v"])), np.append(x["once"], whole["root_once"]), np.append(x["twice"], whole["root_twice"]))
+    discount = (whole["pair_once"] + 1.0) / (whole["pair_once"] + 2.0 * whole["pair_twice"] + 2.0)
+    return totals, min(max(discount, 0.05), 0.95), round(whole["tokens"])
+
+
+def seat_pairs(pairs: DataFrame, totals: Totals, discount: float) -> DataFrame:
+    """(u, w, k, n, t, share): sampled tables of each pair, and what the seated customers alone give w in the restaurant of u."""
+    schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("k", pa.int32()), ("n", pa.int64()), ("t", pa.int64()), ("share", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        u, w, k, n, m, r = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(6))
+        order = np.lexsort((w, u))
+        u, w, k, n, m, r = (x[order] for x in (u, w, k, n, m, r))
+        place = np.cumsum(np.append(False, u[1:] != u[:-1]))
+        customers, kinds = np.bincount(place, weights=n), np.bincount(place)
+        p = np.maximum(m - totals.discount[k], 0.0) / (STRENGTH + totals.customers[k]) + totals.backing()[k] * totals.of_root(r, np.ones(len(r)))
+        seed = int(np.bitwise_xor.reduce(u ^ w)) & (2**63 - 1)
+        t = seat(n, (STRENGTH + discount * kinds[place]) * p, discount, np.random.default_rng(seed))
+        share = np.maximum(n - discount * t, 0.0) / (STRENGTH + customers[place])
+        yield from emit({"u": u, "w": w, "k": k, "n": n, "t": t, "share": share}, schema)
+
+    return stored(pairs.repartition("u").mapInArrow(run, "u long, w long, k int, n long, t long, share double"))
+
+
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for a pair of word hashes; PAIR_KEY is the same for columns u and w."""
+    x = u.view(np.uint64)
+    return ((x << np.uint64(29)) | (x >> np.uint64(35))).view(np.int64) ^ w
+
+
+PAIR_KEY = "(shiftleft(u, 29) | shiftrightunsigned(u, 35)) ^ w"
+
+
 def sampled(words: np.ndarray, row: np.ndarray, e: np.ndarray, totals: Totals, sweep: int):
     seed = int(np.bitwise_xor.reduce(words)) & (2**63 - 1) if len(words) else 0
     return seating(row, e["k"].astype(np.int64), e["n"].astype(np.int64), len(words), totals, np.random.default_rng([seed, sweep]))
@@ -200,11 +270,11 @@ def gather(table: DataFrame, totals: Totals | None, sweep: int) -> Totals:
     return Totals(int(x[0, 4]), x[:-1, 0], x[:-1, 1], float(x[-1, 1]), x[:, 2], x[:, 3])
 
 
-SEATED = pa.schema([("w", pa.int64()), ("entries", pa.binary()), ("roots", pa.binary())])
+SEATED = pa.schema([("w", pa.int64()), ("entries", pa.binary()), ("roots", pa.binary()), ("count", pa.int64())])
 
 
 def seated(table: DataFrame, states: list[Totals]) -> DataFrame:
-    """(w, entries, roots): counts with the tables of the last sweeps, and the parent's tables. ``states``: what those began with."""
+    """(w, entries, roots, count): customers with the tables of the last sweeps, the parent's tables, tokens. ``states``: what those began with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,36 +284,43 @@ def seated(table: DataFrame, states: list[Totals]) -> DataFrame:
             for s in range(SAMPLES):
                 t, _, t0 = sampled(words, row, e, states[s], 1 + s)
                 out["t"][:, s], roots[:, s] = t, t0
-            yield from emit({"w": words, "entries": binaries(out, np.bincount(row, minlength=len(words))), "roots": binaries(roots.reshape(-1), np.full(len(words), SAMPLES))}, SEATED)
+            yield from emit({"w": words, "entries": binaries(out, np.bincount(row, minlength=len(words))), "roots": binaries(roots.reshape(-1), np.full(len(words), SAMPLES)), "count": batch.column(2)}, SEATED)
 
-    return table.mapInArrow(run, "w long, entries binary, roots binary")
+    return table.mapInArrow(run, "w long, entries binary, roots binary, count long")
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_block(docs: pa.Table, words: pa.Table, samples: list[Totals], train: int) -> dict:
+def score_block(docs: pa.Table, words: pa.Table, pairs: pa.Table, samples: list[Totals], train: int) -> dict:
     vocabulary, at, before, sizes = tokens(docs.column("text").to_pylist())
     hashes = np.array([word_hash(x) for x in vocabulary], dtype=np.int64)
     known = words.column("w").to_numpy()
     row, e = unpacked(known, words.column("entries"))
     roots = np.frombuffer(b"".join(words.column("roots").to_pylist()), dtype="<u4").reshape(-1, SAMPLES)
     # one more row: the unknown
-    count = np.append(np.bincount(row, weights=e["n"], minlength=len(known)), 0.0)
+    count = np.append(words.column("count").to_numpy(), 0).astype(float)
+    backing = np.append(words.column("backing").to_numpy(), 1.0)
     p = np.zeros((len(known) + 1, CONTEXTS))
     for s, totals in enumerate(samples):
         c0 = np.append(np.bincount(row, weights=e["t"][:, s], minlength=len(known)), 0.0)
         p += totals.of_root(c0, np.append(roots[:, s].astype(float), 0.0))[:, None] * totals.backing()[None, :]
         k = e["k"].astype(np.int64)
         p[row, k] += np.maximum(e["n"] - totals.discount[k] * e["t"][:, s], 0.0) / (STRENGTH + totals.customers[k])
-    logs = np.log10(p / len(samples))
     base = np.log10((count + 1.0) / (train + samples[0].vocabulary + 1.0))
     order = np.argsort(known)
     place = np.minimum(np.searchsorted(known[order], hashes), max(len(known) - 1, 0))
     of = np.where(known[order][place] == hashes, order[place], len(known)) if len(known) else np.zeros(len(hashes), dtype=np.int64)
     ids, starts = of[at], np.cumsum(sizes) - sizes
+    previous = np.append(0, at[:-1])  # after an end begins a text
+    own, keys = pair_key(hashes[previous], hashes[at]), pairs.column("g").to_numpy()
+    share, order = np.zeros(len(at)), np.argsort(keys)
+    if len(keys):
+        place = order[np.minimum(np.searchsorted(keys[order], own), len(keys) - 1)]
+        share = np.where(keys[place] == own, pairs.column("share").to_numpy()[place], 0.0)
+    logs = np.log10(share + backing[of[previous]] * p[ids, before] / len(samples))
     add = lambda x: np.add.reduceat(x, starts)
-    return {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": sizes, "n_known": add((count[ids] > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), train), "base_score": add(base[ids]), "score": add(logs[ids, before])}
+    return {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": sizes, "n_known": add((count[ids] > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), train), "base_score": add(base[ids]), "score": add(logs)}
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -254,12 +331,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     a vocabulary of none); an empty table gives no rows; further columns are ignored.
     """
     spark, data = docs.sparkSession, with_key(narrow(docs))
-    table = count_words(data)
+    counted = count_pairs(data)
+    release(spark)
+    least, discount, train = least_seating(counted)
+    pairs = seat_pairs(counted, least, discount)
+    release(spark)
+    table = by_word(pairs, "t")
     release(spark)
     states = [gather(table, None, -1)]
     for sweep in range(1 + SAMPLES):
         states.append(gather(table, states[-1], sweep))
-    train = int(states[0].customers.sum())
     samples = states[-SAMPLES:]
 
     volume = data.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -275,11 +356,29 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for block, words in wanted.items():
             yield from emit({"block": np.full(len(words), block, dtype=np.int32), "w": np.array([word_hash(x) for x in words], dtype=np.int64)}, pa.schema([("block", pa.int32()), ("w", pa.int64())]))
 
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: dict[int, list[np.ndarray]] = {}
+        for t in slabs(batches, limit=SLAB):
+            blocks_of = t.column("block").to_numpy()
+            for block in np.unique(blocks_of).tolist():
+                vocabulary, at, _, _ = tokens(t.column("text").filter(pa.array(blocks_of == block)).to_pylist())
+                hashes = np.array([word_hash(x) for x in vocabulary], dtype=np.int64)
+                pair = np.unique(np.append(0, at[:-1]) * len(vocabulary) + at)
+                wanted.setdefault(block, []).append(pair_key(hashes[pair // len(vocabulary)], hashes[pair % len(vocabulary)]))
+        for block, found in wanted.items():
+            keys = np.unique(np.concatenate(found))
+            yield from emit({"block": np.full(len(keys), block, dtype=np.int32), "g": keys}, pa.schema([("block", pa.int32()), ("g", pa.int64())]))
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return SCORED.empty_table()
-        return pa.table(score_block(left, right, samples, train), schema=SCORED)
-
-    answers = dealt.mapInArrow(ask, "block int, w long").join(seated(table, states[-1 - SAMPLES : -1]).hint("merge"), "w")
+        word = right.column("entries").is_valid()
+        return pa.table(score_block(left, right.filter(word), right.filter(pa.compute.invert(word)), samples, train), schema=SCORED)
+
+    contexts = pairs.groupBy(F.col("u").alias("w")).agg(((STRENGTH + discount * F.sum("t")) / (STRENGTH + F.sum("n"))).alias("backing"))
+    known = seated(table, states[-1 - SAMPLES : -1]).join(contexts.hint("merge"), "w", "left").withColumn("backing", F.coalesce("backing", F.lit(1.0)))
+    words = dealt.mapInArrow(ask, "block int, w long").join(known.hint("merge"), "w")
+    shares = dealt.mapInArrow(ask_pairs, "block int, g long").join(pairs.select(F.expr(PAIR_KEY).alias("g"), "share").hint("merge"), "g")
+    answers = words.unionByName(shares, allowMissingColumns=True)
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, kinds)

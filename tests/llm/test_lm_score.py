@@ -82,6 +82,34 @@ def test_seating_follows_the_restaurant():
         assert runs.min() >= 1 and runs.max() <= n
 
 
+def test_each_preceding_word_is_a_context(spark):
+    """All words end alike, so that they are of one class; each decides the next one."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        at = rng.randrange(200)
+        rows.append((i, " ".join(f"{(at + j) % 200}xx" for j in range(40))))
+    got = [r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    perplexity = lambda f: 10 ** (-sum(map(f, got)) / sum(r.n_tokens for r in got))
+    assert perplexity(lambda r: r.score) < 0.1 * perplexity(lambda r: r.base_score)
+
+
+def test_pairs_against_brute_force(spark):
+    from rowloom.llm.lm_score import END, context, count_pairs, narrow, with_key, word_hash
+
+    rows = corpus()
+    want = Counter()
+    for d, t in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
+            words = [END, *(t or "").encode().lower().split(), END]
+            want.update(zip(words, words[1:]))
+    classes = {w: 0 if w == END else context(w) for pair in want for w in pair}
+    before = Counter((w, classes[u]) for u, w in want)
+    kinds = Counter(w for w, _ in before)
+    got = sorted(tuple(r) for r in count_pairs(with_key(narrow(spark.createDataFrame(rows, "doc_id long, text string")))).collect())
+    assert got == sorted((word_hash(u), word_hash(w), classes[u], n, before[w, classes[u]], kinds[w]) for (u, w), n in want.items())
+
+
 def test_empty(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = score_documents(spark.createDataFrame([(i, "a") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")).collect()
