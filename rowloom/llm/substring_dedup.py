@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (whatever ends in ., ! or ? before white space, or at a line break; very long ones also at places
-that depend on their words alone). From each sentence a span runs over at least ``min_sentences`` consecutive sentences until
+A text is cut into sentences (whatever ends in ., ! or ? before white space, or at a line break; very long ones also after the
+word of the least hash of any WINDOW words, so that pieces are short and any 50 words shared by two of them hold a span of 2 pieces
+and 16 words that both have). From each sentence a span runs over at least ``min_sentences`` consecutive sentences until
 it holds ``min_words`` words, and likewise one that ends at it. Spans are hashed over their lower-cased words and joined
 globally. The first occurrence of a span is the one in the smallest doc_id, there the earliest; sentences covered by any other
 occurrence are removed.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,10 +27,20 @@ from .common import emit, narrow, slabs, stored, with_key
 
 #: Ends a sentence if the match ends in white space.
 BREAK = re.compile(r"[\n.!?…。！？]+(?:[\"'”’)\]]*\s+)?")
-LONG_WORDS, LONG_CHARS = 32, 200
+LONG_WORDS = 32
+WINDOW = 8
 FIRST = -(2**63)
 
 
+def cuts(bare: list[str]) -> np.ndarray:
+    """After which words a long sentence is cut: the last of the least hashes of any WINDOW words, and , ; or :."""
+    h = np.array([xxhash.xxh32_intdigest(w) if w else 2**32 for w in bare], dtype=np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1]
+    out = np.array([w[-1:] in (",", ";", ":") for w in bare])
+    out[np.arange(WINDOW - 1, len(bare)) - windows.argmin(axis=1)] = True
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """Pieces that join to the text."""
     out = []
@@ -38,15 +50,10 @@ def sentences(text: str) -> list[str]:
         ends.append(len(text))
     for end in ends:
         s = text[start:end]
-        if end - start > LONG_CHARS and len(words := re.findall(r"\S+\s*|^\s+", s)) > LONG_WORDS:
-            piece: list[str] = []
-            for w in words:
-                piece.append(w)
-                bare = w.strip().lower()
-                if bare[-1:] in ",;:" or xxhash.xxh32_intdigest(bare) % 12 == 0:
-                    out.append("".join(piece))
-                    piece = []
-            out.append("".join(piece))
+        if end - start > 2 * LONG_WORDS and len(words := re.findall(r"\S+\s*|^\s+", s)) > LONG_WORDS:
+            ends_here = np.flatnonzero(cuts([w.strip().lower() for w in words])) + 1
+            at = [0, *ends_here.tolist(), len(words)]
+            out += ["".join(words[a:b]) for a, b in zip(at, at[1:])]
         elif s:
             out.append(s)
         start = end

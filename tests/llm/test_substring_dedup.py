@@ -56,6 +56,20 @@ def test_against_brute_force(spark):
     assert got[7].text.endswith(endless) and len(got[8].text) < len(rows[8][1]) - 500
 
 
+def test_fifty_shared_words_share_a_span():
+    """A passage without an end, in the midst of different sentences."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(1, 8)))
+    for i in range(400):
+        k = rng.choice([2, 300])  # few different words too
+        few = [word() for _ in range(k)]
+        passage = rng.choices(few, k=50) if i % 2 else [rng.choice("abcdefghi") for _ in range(50)]
+        one, two = ([" ".join([word() for _ in range(rng.randrange(1, 30))] + passage + [word() for _ in range(rng.randrange(1, 30))]) + "." for _ in range(2)])
+        hashes = [{h for h, _, _ in spans(sentences(t), 2, 16)} for t in (one, two)]
+        assert hashes[0] & hashes[1], (one, two)
+        assert len(cleaned(two, hashes[0], 2, 16)[0]) < len(two)
+
+
 def test_short_repeats_stay():
     assert cleaned("Yes. No. Yes. No. Yes. No.", set(), 2, 16) == ("Yes. No. Yes. No. Yes. No.", 6, 0)
 
