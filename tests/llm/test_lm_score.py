@@ -5,8 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from rowloom.llm.lm_score import CONTEXTS, STRENGTH, Totals, count_words, gather, score_documents, seat
+from rowloom.llm.common import narrow
+from rowloom.llm.lm_score import END, HELD_OUT, SAMPLES, STRENGTH, Pairs, draw, fit, numbers_of, pack, score_documents, stirling, uniform, unpack, word_hash
 
 
 def brute(rows):
@@ -42,44 +44,100 @@ def test_base_columns_and_model(spark):
     assert perplexity(lambda r: r.score) < 0.8 * perplexity(lambda r: r.base_score)
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over all known words and the unknown class, in every context."""
-    import pyarrow as pa
+def fitted(spark, rows, homes):
+    """One slab of all rows: its words, pairs, and what the homes answer about them."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    cut, answered, hot, parent = fit(narrow(docs).withColumn("held_out", F.expr(HELD_OUT)), homes)
+    (row,) = cut.collect()
+    (_, _, _, _, end, in_home), (ids,), (hashes,) = unpack(row.docs), unpack(row.ids), unpack(row.vocabulary)
+    pairs = Pairs(ids, int(end[0]), in_home, numbers_of(hashes, hot))
+    parts = [unpack(r.blob) for r in sorted(answered.collect(), key=lambda r: r.home)]
+    return pairs, hashes, [np.concatenate(x).astype(float) for x in zip(*parts)], parent, hot
 
-    from rowloom.llm.lm_score import narrow, sampled, unpacked, with_key
 
+def test_probabilities_sum_to_one(spark):
+    """In every restaurant the seated customers' shares and what is left to the parent make up all customers, and in the parent."""
+    for homes in (1, 3):
+        pairs, hashes, (count, *rest), parent, hot = fitted(spark, corpus(), homes)
+        customers, tables, value = np.array(rest[:SAMPLES]), np.array(rest[SAMPLES : 2 * SAMPLES]), rest[-1]
+        seated = np.bincount(pairs.u, weights=value, minlength=len(hashes))
+        assert np.allclose(seated + parent.discount * tables.mean(axis=0), count, rtol=1e-5)
+        whole = customers.sum(axis=1) + parent.new * (parent.vocabulary + 1)
+        assert np.allclose(whole, STRENGTH + parent.customers, rtol=1e-5)
+        assert 0 < len(hot) < len(hashes) and (count > 0).sum() == parent.vocabulary
+
+
+def test_counts_against_brute_force(spark):
+    rows = corpus()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    want, single = Counter(), Counter()
+    for d, t in rows:
+        words = [END, *(t or "").encode().lower().split(), END]
+        want.update({p: 0 for p in zip(words, words[1:])} if held(d) else Counter(zip(words, words[1:])))
+        single.update({w: 0 for w in words} if held(d) else Counter(words[1:]))
+    pairs, hashes, (count, *rest), parent, _ = fitted(spark, rows, 2)
+    assert {int(h): int(c) for h, c in zip(hashes, count)} == {word_hash(w): n for w, n in single.items()}
+    value = {(int(hashes[u]), int(hashes[w])): v for u, w, v in zip(pairs.u, pairs.w, rest[-1])}
+    assert set(value) == {(word_hash(u), word_hash(w)) for u, w in want}
+    for (u, w), n in want.items():
+        v = value[word_hash(u), word_hash(w)]
+        assert v == 0 if n == 0 else math.isclose(v, 1 - parent.discount, rel_tol=1e-5) if n == 1 else (n * (1 - parent.discount)) * (1 - 1e-5) <= v <= (n - parent.discount) * (1 + 1e-5)
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+
+def test_stirling_numbers_against_all_seatings():
+    d = 0.4
+    found = stirling(d, 8)
+    for n in range(1, 8):
+        want = Counter()
+        for seating in partitions(list(range(n))):
+            want[len(seating)] += math.prod(math.gamma(len(x) - d) / math.gamma(1 - d) for x in seating)
+        for t in range(1, n + 1):
+            assert math.isclose(math.exp(found[n, t]), want[t], rel_tol=1e-9)
+
+
+def test_draws_follow_the_conditional():
+    d, trials = 0.6, 40_000
+    key = np.arange(trials, dtype=np.uint64)
+    inner = stirling(d)
+    for n, a in ((2, 0.7), (7, 2.0), (40, 0.3)):
+        weight = np.array([math.exp(inner[n, t] + sum(math.log((a + d * i) * 0.2) for i in range(t))) for t in range(1, n + 1)])
+        got = draw(np.full(trials, n), np.full(trials, a), d, np.full(trials, 0.2), 0.0, inner, d, uniform(key, 1), key, 0)
+        share = np.bincount(got, minlength=n + 1)[1:] / trials
+        assert np.abs(share - weight / weight.sum()).max() < 0.01
+    # beyond the table: against a table that goes further
+    long = stirling(d, 2000)
+    for n in (300, 2000):
+        weight = np.array([long[n, t] + sum(math.log((500 + d * i) * 0.01) for i in range(t)) for t in range(1, n + 1)])
+        weight = np.exp(weight - weight.max())
+        mean = (weight * np.arange(1, n + 1)).sum() / weight.sum()
+        got = draw(np.full(2000, n), np.full(2000, 500.0), d, np.full(2000, 0.01), 0.0, inner, d, uniform(key[:2000], 1), key[:2000], 0)
+        assert abs(got.mean() - mean) < 0.05 * mean and got.min() >= 1 and got.max() <= n
+
+
+def test_scores_do_not_depend_on_batches_and_splits(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
-    table = count_words(with_key(narrow(docs))).coalesce(1)
-    states = [gather(table, None, -1)]
-    states.append(gather(table, states[0], 0))
-    rows = table.toArrow()
-    words = rows.column("w").to_numpy()
-    totals = gather(table, states[0], 0)
-    batches = rows.combine_chunks().to_batches()
-    row, e = unpacked(words, rows.column("entries"))
-    t, c0, t0 = sampled(words, row, e, states[0], 0)
-    own = Totals(len(words), np.bincount(e["k"], weights=e["n"], minlength=CONTEXTS), np.bincount(e["k"], weights=t, minlength=CONTEXTS), float(t0.sum()), np.ones(CONTEXTS + 1), np.ones(CONTEXTS + 1))
-    root = own.of_root(np.append(c0, 0), np.append(t0, 0))
-    assert abs(root.sum() - 1) < 1e-9
-    for k in range(CONTEXTS):
-        p = root * own.backing()[k]
-        at = e["k"] == k
-        p[row[at]] += (e["n"][at] - own.discount[k] * t[at]) / (STRENGTH + own.customers[k])
-        assert abs(p.sum() - 1) < 1e-9
-    assert isinstance(batches[0], pa.RecordBatch) and totals.vocabulary == len(words)
-
-
-def test_seating_follows_the_restaurant():
-    """Mean number of tables against one-by-one seating."""
-    rng = np.random.default_rng(1)
-    for n, a, d in ((12, 1.5, 0.6), (400, 3.0, 0.5), (3000, 20.0, 0.8)):
-        runs = seat(np.full(3000, n), np.full(3000, a), d, rng)
-        mean, t = 0.0, np.ones(3000)
-        for i in range(1, n):
-            t += rng.random(3000) * (a + i - d * t) < a
-        mean = t.mean()
-        assert abs(runs.mean() - mean) < 0.06 * mean
-        assert runs.min() >= 1 and runs.max() <= n
+    runs = []
+    for parts, batch in ((1, 10_000), (7, 20)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        runs.append(sorted(((str(r.doc_id), round(r.score, 6)) for r in score_documents(docs.repartition(parts)).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert runs[0] == runs[1]
+
+
+def test_packing():
+    arrays = [np.arange(1000), np.zeros(0, dtype=np.int64), np.array([-5, 2**40]), np.array([2**63 + 1], dtype=np.uint64), np.array([True, False]), np.linspace(0, 1, 50, dtype=np.float32)]
+    got = unpack(pack(*arrays))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, got, strict=True))
 
 
 def test_each_preceding_word_is_a_context(spark):
@@ -94,22 +152,6 @@ def test_each_preceding_word_is_a_context(spark):
     assert perplexity(lambda r: r.score) < 0.1 * perplexity(lambda r: r.base_score)
 
 
-def test_pairs_against_brute_force(spark):
-    from rowloom.llm.lm_score import END, context, count_pairs, narrow, with_key, word_hash
-
-    rows = corpus()
-    want = Counter()
-    for d, t in rows:
-        if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
-            words = [END, *(t or "").encode().lower().split(), END]
-            want.update(zip(words, words[1:]))
-    classes = {w: 0 if w == END else context(w) for pair in want for w in pair}
-    before = Counter((w, classes[u]) for u, w in want)
-    kinds = Counter(w for w, _ in before)
-    got = sorted(tuple(r) for r in count_pairs(with_key(narrow(spark.createDataFrame(rows, "doc_id long, text string")))).collect())
-    assert got == sorted((word_hash(u), word_hash(w), classes[u], n, before[w, classes[u]], kinds[w]) for (u, w), n in want.items())
-
-
 def test_empty(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = score_documents(spark.createDataFrame([(i, "a") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")).collect()
