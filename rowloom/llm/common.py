@@ -71,9 +71,26 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+#: A null doc_id counts as the least number.
+FIRST = -(2**63)
+#: Rows are the same document if doc_id and text agree. Neither column is ever null, so that joins lose no row.
+KEY = ["doc", "row_key"]
+
+
 def with_key(docs: DataFrame) -> DataFrame:
-    """``row_key``: rows are the same document if doc_id and text agree; never null, so that joins lose no row."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """``doc`` (doc_id as a number) and ``row_key`` (hash of the text), of which two together identify a row."""
+    return docs.withColumns({"doc": F.coalesce("doc_id", F.lit(FIRST)), "row_key": F.xxhash64("text")})
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all its columns and those of KEY, under the returned names, which no other column has."""
+    have, names = {c.lower() for c in docs.columns}, []
+    for name in KEY:
+        while name in have:
+            name += "_"
+        names.append(name)
+    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST))
+    return docs.withColumns({names[0]: doc, names[1]: F.xxhash64(F.coalesce(docs["text"], F.lit("")))}), names
 
 
 def slabs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLAB_CHARS) -> Iterator[pa.Table]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links``: two long columns a, b. Returns (node, root) for every node that has a link: root is the component's least node.
 
     Alternates the large-star and small-star steps, which keep the number of links and end with one star for each component.
@@ -17,7 +17,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = checkpoint(edges)
-    for _ in range(max_rounds):
+    while True:  # every round shortens the longest path
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -29,7 +29,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         unfinished = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").union(after.join(parents, "u", "left_semi").select("u")).limit(1).count()
         edges = after
         if not unfinished:
-            break
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
+            return stars(edges)
+
+
+def stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -16,7 +16,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, stored, with_key
+from .common import narrow, stored
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(\"row_key\", F.xxhash64(\"doc_id\", \"text\"))
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing, to count them.

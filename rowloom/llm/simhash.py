@@ -5,8 +5,9 @@ most one, so the two agree in one of the 32 variants of that segment that blank
 indexed under its 64 variants; an equality join on the variant brings candidates together, and the full distance verifies them.
 
 A pair may share several variants; it is looked at under one of them only (the first fitting segment, and there the differing
-bit, or bit 0 if there is none). Of the links found under a variant only a spanning forest is passed on. Large groups are cut
-further by the bytes of the other segment, in which at most 3 bits differ, so that one of its 4 bytes agrees.
+bit, or bit 0 if there is none). Of the links found under a variant only a spanning forest is passed on. In the other segment at
+most 3 bits differ, so that one of any 4 pieces of it agrees: a variant of more than HOT fingerprints is dealt out by its bytes
+before it reaches a task, and groups beyond DENSE are cut in the task by pieces of the bits that are still free, again and again.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, emit, narrow, slabs, with_key
+from .common import FIRST, checkpoint, discard, emit, keyed, narrow, slabs, stored, with_key
 from .components import components
 
 MAX_BITS = 3
 SEGMENT_BITS = 32
 #: Groups beyond this many fingerprints are cut further.
 DENSE = 1024
+#: Variants beyond this many are dealt out by (byte, its value) as well.
+HOT = 100_000
 
 
 def fingerprint(text: str) -> int:
@@ -51,9 +54,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slabs(batches):
             fp = np.array([fingerprint(x) for x in t.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield from emit({"doc_id": t.column("doc_id"), "row_key": t.column("row_key"), "fp": fp}, pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.int64())]))
+            columns = {"doc_id": t.column("doc_id"), "row_key": t.column("row_key"), "fp": fp}
+            yield from emit(columns, pa.schema([(c, pa.int64()) for c in columns]))
 
-    return with_key(narrow(docs)).mapInArrow(run, "doc_id long, row_key long, fp long")
+    return with_key(narrow(docs)).select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 class Forest:
@@ -76,65 +80,86 @@ class Forest:
         return a != b
 
 
-def near(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within MAX_BITS, a bounded block at a time."""
-    found = []
-    step = max(1, 2_000_000 // max(1, len(right)))
+def near(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within MAX_BITS, of a bounded block at a time."""
+    step = max(1, 250_000 // max(1, len(right)))
     for i in range(0, len(left), step):
         a, b = np.nonzero(np.bitwise_count(left[i : i + step, None] ^ right[None, :]) <= MAX_BITS)
-        found.append((a + i, b))
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        yield a + i, b
 
 
 def group_links(fps: np.ndarray, segment: int, bit: int) -> list[tuple[int, int]]:
     """A spanning forest of the links that belong to this variant. ``fps``: distinct, alike in the segment but for ``bit``."""
     forest, out = Forest(len(fps)), []
+    known = np.arange(len(fps))  # equal numbers: connected already
     shift = np.uint64(SEGMENT_BITS * segment)
     upper = np.uint64(2**32 - 1)
     side = (fps >> (shift + np.uint64(bit))) & np.uint64(1)
 
     def links(a: np.ndarray, b: np.ndarray) -> None:
         """Between members a and members b; the same array twice: within it."""
-        i, j = near(fps[a], fps[b])
-        i, j = a[i], b[j]
-        keep = i < j if a is b else np.ones(len(i), dtype=bool)
-        if segment:  # the first segment fits these as well
-            keep &= np.bitwise_count((fps[i] ^ fps[j]) & upper) >= 2
-        for x, y in zip(i[keep].tolist(), j[keep].tolist()):
-            if forest.join(x, y):
-                out.append((int(fps[x]), int(fps[y])))
+        for i, j in near(fps[a], fps[b]):
+            i, j = a[i], b[j]
+            keep = (known[i] != known[j]) & ((i < j) if a is b else True)
+            if segment:  # the first segment fits these as well
+                keep &= np.bitwise_count((fps[i] ^ fps[j]) & upper) >= 2
+            for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+                if forest.join(x, y):
+                    out.append((int(fps[x]), int(fps[y])))
+            if keep.any() and len(known) > 64:
+                known[:] = [forest.find(x) for x in range(len(known))]
+
+    def cut(a: np.ndarray, b: np.ndarray, free: list[int]) -> None:
+        """``free``: bits of the other segment that members need not share."""
+        if not len(a) or not len(b):
+            return
+        if len(a) * len(b) <= DENSE * DENSE or len(free) < 4:
+            return links(a, b)
+        for piece in range(4):
+            own = free[piece::4]
+            value = lambda of: sum(((other[of] >> np.uint64(x)) & np.uint64(1)) << np.uint64(i) for i, x in enumerate(own))  # noqa: E731, B023
+            va, rest = value(a), [x for x in free if x not in own]
+            vb = va if a is b else value(b)
+            for v in np.intersect1d(va, vb).tolist():
+                x = a[va == v]
+                cut(x, x if a is b else b[vb == v], rest)
 
     zero, one = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    pairs = [(zero, one)] + ([(zero, zero), (one, one)] if bit == 0 else [])
     other = (fps >> (np.uint64(SEGMENT_BITS) - shift)) & upper
-    for a, b in pairs:
-        if not len(a) or not len(b):
-            continue
-        if len(a) * len(b) <= DENSE * DENSE:
-            links(a, b)
-            continue
-        for byte in range(4):
-            of = (other >> np.uint64(8 * byte)) & np.uint64(255)
-            for v in np.intersect1d(of[a], of[b]).tolist():
-                x = a[of[a] == v]
-                links(x, x if a is b else b[of[b] == v])
+    for a, b in [(zero, one)] + ([(zero, zero), (one, one)] if bit == 0 else []):
+        cut(a, b, list(range(SEGMENT_BITS)))
     return out
 
 
-def variant_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, enough to connect all that are linked. ``fps``: one column fp, distinct."""
+def by_variant(fps: DataFrame, hot: int) -> DataFrame:
+    """(key, part, fp): every fingerprint under its variants; part is -1, or of variants beyond ``hot`` members a byte of the
+    other segment with its number."""
     i, mask = F.col("i"), F.lit(2**32 - 1).cast("long")
     segment = F.expr("shiftrightunsigned(fp, 32 * (i div 32))").bitwiseAND(mask)
     key = F.expr("shiftleft(cast(i as long), 32)").bitwiseOR(segment.bitwiseAND(F.expr("~shiftleft(1L, i % 32)")))
-    index = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(key.alias("key"), "fp")
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # 64 rows come of each
+    index = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(key.alias("key"), "fp")
+    whole = lambda df: df.select("key", F.lit(-1).alias("part"), "fp")
+    heavy = stored(index.groupBy("key").count().where(F.col("count") > hot).select("key"))
+    if heavy.isEmpty():
+        discard(heavy)
+        return whole(index)
+    light = index.join(heavy.hint("merge"), "key", "left_anti")
+    other = "shiftrightunsigned(fp, 32 * (1 - cast(shiftrightunsigned(key, 37) as int)))"
+    cut = index.join(heavy.hint("merge"), "key", "left_semi").select("key", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("byte"), "fp")
+    return whole(light).unionByName(cut.select("key", F.expr(f"cast(byte * 256 + (shiftrightunsigned({other}, 8 * byte) & 255) as int) part"), "fp"))
+
+
+def variant_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between distinct fingerprints, enough to connect all that are linked. ``fps``: one column fp, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         out: list[tuple[int, int]] = []
-        rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        rest_k, rest_p, rest_f = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-        def groups(keys: np.ndarray, values: np.ndarray) -> None:
-            cuts = np.flatnonzero(np.diff(keys)) + 1
+        def groups(keys: np.ndarray, parts: np.ndarray, values: np.ndarray) -> None:
+            cuts = np.flatnonzero(np.diff(keys) | np.diff(parts)) + 1
             lo, hi = np.append(0, cuts), np.append(cuts, len(keys))
             two = lo[hi - lo == 2]
             x, y, k = values[two], values[two + 1], keys[two]
@@ -153,19 +178,21 @@ def variant_links(fps: DataFrame) -> DataFrame:
 
         for batch in batches:
             keys = np.concatenate([rest_k, batch.column(0).to_numpy()])
-            values = np.concatenate([rest_f, batch.column(1).to_numpy().view(np.uint64)])
+            parts = np.concatenate([rest_p, batch.column(1).to_numpy()])
+            values = np.concatenate([rest_f, batch.column(2).to_numpy().view(np.uint64)])
             if not len(keys):
                 continue
-            last = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
-            rest_k, rest_f = keys[last:], values[last:]
+            last = int(np.flatnonzero((keys != keys[-1]) | (parts != parts[-1])).max(initial=-1)) + 1  # the last group may go on
+            rest_k, rest_p, rest_f = keys[last:], parts[last:], values[last:]
             if last:
-                groups(keys[:last], values[:last])
+                groups(keys[:last], parts[:last], values[:last])
             yield from flush()
         if len(rest_k):
-            groups(rest_k, rest_f)
+            groups(rest_k, rest_p, rest_f)
         yield from flush()
 
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    index = by_variant(fps, hot)
+    return index.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
 
 
 def rooted(docs: DataFrame) -> DataFrame:
@@ -185,14 +212,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Fingerprints link at 3 or fewer differing bits; component_id is the smallest doc_id reachable over links, itself included.
     Equal fingerprints meet by grouping, never as pairs. Null, empty and blank texts have the fingerprint zero, linked like any
     other; repeated rows share everything; a null doc_id never becomes a component_id unless its component has no other; empty
-    tables give no rows; further columns are ignored. row_key identifies (doc_id, text).
+    tables give no rows; further columns are ignored. row_key is a hash of the text.
     """
     return rooted(docs).drop("root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component: that of its smallest doc_id (ties: of the smallest row_key), all columns kept."""
+    """One row of ``docs`` for each component: that of its smallest doc_id (ties: of the smallest hash of the text), all columns
+    kept. A null doc_id stays only where its component has no other; of repeated rows one stays; null and empty texts are alike;
+    an empty table gives no rows; no column name is reserved.
+    """
     first = rooted(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
-    keyed = docs.withColumn("__row_key", F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit(""))))
-    kept = keyed.join(first.select(F.col("first.row_key").alias("__row_key")).distinct().hint("merge"), "__row_key", "left_semi")
-    return kept.dropDuplicates(["__row_key"]).drop("__row_key")
+    rows, key = keyed(docs)
+    chosen = first.select(F.coalesce("first.doc_id", F.lit(FIRST)).alias(key[0]), F.col("first.row_key").alias(key[1]))
+    return rows.join(chosen.distinct().hint("merge"), key, "left_semi").dropDuplicates(key).drop(*key)

@@ -23,7 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, narrow, slabs, stored, with_key
+from .common import emit, narrow, slabs, stored
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(\"row_key\", F.xxhash64(\"doc_id\", \"text\"))
 
 #: Ends a sentence if the match ends in white space.
 BREAK = re.compile(r"[\n.!?…。！？]+(?:[\"'”’)\]]*\s+)?")

@@ -24,7 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, narrow, release, slabs, stored, with_key
+from .common import emit, narrow, release, slabs, stored
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(\"row_key\", F.xxhash64(\"doc_id\", \"text\"))
 from .suffix_array import STOP, equal_runs, suffix_array
 
 CORE = 32

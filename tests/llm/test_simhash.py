@@ -1,10 +1,11 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from rowloom.llm.components import components
-from rowloom.llm.simhash import keep_one, near_duplicates, variant_links
+from rowloom.llm.simhash import group_links, keep_one, near_duplicates, variant_links
 
 SCHEMA = "doc_id long, text string"
 
@@ -35,7 +36,8 @@ def brute_components(fps):
     return [find(i) for i in range(len(fps))]
 
 
-def test_links_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [100_000, 40])
+def test_links_match_brute_force(spark, hot):
     rng = random.Random(5)
     fps = set()
     for _ in range(60):
@@ -50,7 +52,7 @@ def test_links_match_brute_force(spark):
     fps |= {dense ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(1500)}
     fps = sorted(fps)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    links = variant_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    links = variant_links(spark.createDataFrame([(x,) for x in signed], "fp long"), hot)
     pairs = [(r.a % 2**64, r.b % 2**64) for r in links.collect()]
     assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
     place = {x: i for i, x in enumerate(fps)}
@@ -104,3 +106,35 @@ def test_unrelated_rows_without_doc_id_all_stay(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_groups_are_cut_again(monkeypatch):
+    """With so small a limit that pieces are cut several times over."""
+    import numpy as np
+
+    from rowloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "DENSE", 8)
+    rng = random.Random(3)
+    fixed = rng.getrandbits(32) << 32
+    for bit in (0, 7):
+        centres = [rng.getrandbits(32) for _ in range(12)]
+        fps = sorted({fixed | (c ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32))) ^ (rng.randrange(2) << 32 + bit) for c in centres for _ in range(60)})
+        side = lambda x: x >> 32 + bit & 1  # noqa: E731, B023
+        want = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3 and (bit == 0 or side(a) != side(b)) and (a & (2**32 - 1) ^ b & (2**32 - 1)).bit_count() >= 2]
+        got = group_links(np.array(fps, dtype=np.uint64), 1, bit)
+        assert all((a ^ b).bit_count() <= 3 for a, b in got)
+
+        def sets(pairs):
+            root = {x: x for x in fps}  # noqa: B023
+
+            def find(x):
+                while root[x] != x:  # noqa: B023
+                    x = root[x]  # noqa: B023
+                return x
+
+            for a, b in pairs:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+            return [find(x) for x in fps]  # noqa: B023
+
+        assert sets(got) == sets(want) and len(got) < len(fps)
