@@ -26,39 +26,37 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return small
 
 
+STEP = 5
+KEY_BITS = 41  # of STEP symbols of 257 kinds
+
+
 def sort_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Order suffixes by their first ``depth`` bytes, 7 bytes at a time, going on with ties only."""
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(depth + 8, dtype=np.uint64)])
-
-    def key(p: np.ndarray) -> np.ndarray:
-        k = np.zeros(len(p), dtype=np.uint64)
-        for j in range(7):
-            k = k << np.uint64(9) | padded[p + j]
-        return k
-
-    order = at
-    group = np.zeros(len(at), dtype=np.int64)
-    todo = np.arange(len(at))
-    for step in range(0, depth, 7):
+    """Order suffixes by their first ``depth`` bytes, STEP bytes at a time, going on with ties only."""
+    symbols = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(depth + 2 * STEP, dtype=np.uint64)])
+    keys = np.zeros(len(symbols) - STEP, dtype=np.uint64)  # of the STEP bytes from each place on
+    for j in range(STEP):
+        keys *= np.uint64(257)
+        keys += symbols[j : j + len(keys)]
+    order = at.copy()
+    todo, group = np.arange(len(at)), np.zeros(len(at), dtype=np.uint64)  # places in the order, and which of them tie
+    for step in range(0, depth, STEP):
         if not len(todo):
             break
-        k = key(order[todo] + step)
-        by = np.lexsort((k, group[todo]))
-        order[todo], k = order[todo][by], k[by]
-        g = group[todo]  # ascending already: groups are contiguous
-        new = np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]))
-        first = np.maximum.accumulate(np.where(new, todo, 0))
-        group[todo] = first
-        single = new & np.append(new[1:], True)
-        todo = todo[~single]
+        k = keys[order[todo] + step]
+        by = np.argsort(group << np.uint64(KEY_BITS) | k) if len(todo) < 1 << 64 - KEY_BITS else np.lexsort((k, group))
+        order[todo], k = order[todo][by], k[by]  # ties are neighbours, so that groups stay where they are
+        new = np.append(True, (group[1:] != group[:-1]) | (k[1:] != k[:-1]))
+        tied = ~(new & np.append(new[1:], True))
+        todo = todo[tied]
+        group = (np.cumsum(new) - 1).astype(np.uint64)[tied]
+        if len(group):
+            group = np.cumsum(np.append(False, group[1:] != group[:-1])).astype(np.uint64)
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int = 176) -> np.ndarray:
-    """Suffixes of ``text`` (uint8) ordered by their first ``depth`` bytes at least.
-
-    ``depth`` must exceed the longest piece between two STOP bytes, so that it tells every suffix from its successor.
-    """
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of ``text`` (uint8) in the order of their first ``depth`` bytes: an induced suffix is at least as well in order as
+    the one after it."""
     n = len(text)
     if not n:
         return np.zeros(0, dtype=np.int64)
@@ -72,16 +70,28 @@ def suffix_array(text: np.ndarray, depth: int = 176) -> np.ndarray:
     firsts = np.cumsum(held) - held
     of = text[direct]
     out[tails[of] + np.arange(len(direct)) - firsts[of]] = direct
-    sa, heads = out.tolist(), (ends - sizes).tolist()
-    letters, large = text.tolist(), (~small).tolist()
-    sa[heads[letters[n - 1]]] = n - 1
-    heads[letters[n - 1]] += 1
-    for j in sa:  # the list is filled ahead of the scan
-        if j > 0 and large[j - 1]:
-            c = letters[j - 1]
-            sa[heads[c]] = j - 1
-            heads[c] += 1
-    return np.array(sa, dtype=np.int64)
+    starts = ends - sizes
+    heads = starts.copy()  # where each bucket's next induced suffix goes
+    out[heads[text[-1]]] = n - 1  # before nothing: the least of its bucket
+    heads[text[-1]] += 1
+
+    def induce(found: np.ndarray) -> None:
+        """Place those that begin a byte before ``found`` and are larger than these."""
+        j = found[found > 0] - 1
+        j = j[~small[j]]
+        order = np.argsort(text[j], kind="stable")
+        j, more = j[order], np.bincount(text[j], minlength=256)
+        c = text[j]
+        out[heads[c] + np.arange(len(j)) - (np.cumsum(more) - more)[c]] = j
+        heads[:] += more
+
+    for c in np.flatnonzero(sizes).tolist():
+        done = starts[c]
+        while done < heads[c]:  # a run of one byte fills its own bucket on
+            part, done = out[done : heads[c]], heads[c]
+            induce(part)
+        induce(out[tails[c] : ends[c]])
+    return out
 
 
 def equal_runs(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:

@@ -4,13 +4,20 @@ Every string of ``length`` bytes is assigned to its minimizer, the least of its
 equals), so equal strings share one. A maximal run of neighbouring strings with the same minimizer is one *stretch* of text.
 
 1. Minimizers are counted over all documents; only those that occur twice can hold a repeat.
-2. Stretches of such minimizers, each distinct one once for every slab of text, are dealt out by minimizer. Copies of a stretch
-   collapse to the earliest; where a minimizer has several different stretches, a suffix array over them (two-stage sorting)
-   and its adjacent common prefixes give all classes of equal strings, and which of a stretch's strings start earlier elsewhere.
+2. Stretches of such minimizers, each distinct one once for every HELD bytes of text, are dealt out by minimizer. Copies of a
+   stretch collapse to the earliest. Where a minimizer has several different stretches, each is cut into the strings that begin
+   far before the minimizer and those that begin close to it; parts that agree with no other in the bytes that all their strings
+   hold drop out. A suffix array over the others (two-stage sorting) and its adjacent common prefixes give all classes of equal
+   strings, and which of a stretch's strings start earlier elsewhere.
 3. The verdicts (earliest place of a stretch, and a bit for each of its strings) join the documents' stretches again, and the
    texts are cut.
 
-Only hashes, repeated stretches and verdicts travel besides the texts. Tables between the steps are kept in the shared folder.
+A minimizer with more than ``dense`` stretches (a phrase that many texts share, each in its own surroundings) would make one
+task hold them all. The strings of its distinct stretches are dealt out one by one instead, by a hash of 128 bits; the earliest
+place of each is a grouping with partial aggregation.
+
+Only hashes, repeated stretches and verdicts travel besides the texts; stretches are compared as bytes within a minimizer, and
+known by (minimizer, hash) outside. Tables between the steps are kept in the shared folder until they have been read.
 """
 
 from __future__ import annotations
@@ -24,20 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, narrow, release, slabs, stored
-
-
-def with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(\"row_key\", F.xxhash64(\"doc_id\", \"text\"))
+from .common import KEY, discard, emit, narrow, release, slabs, stored, with_key
 from .suffix_array import STOP, equal_runs, suffix_array
 
 CORE = 32
 SLAB = 2_000_000
-FIRST = -(2**63)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 ROOT = 0x9E3779B97F4A7C15
 #: Stretches are sorted together up to about so many bytes.
 SORTED_BYTES = 1_500_000
+#: Stretches found in so many bytes of text are handed on together.
+HELD = 16_000_000
 
 
 def core_hashes(data: np.ndarray) -> np.ndarray:
@@ -53,12 +57,13 @@ def core_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def stretches(data: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that follow one another in ``data``: text number, its start, first and last string (by place in data), minimizer."""
+def stretches(data: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that follow one another in ``data``: text number, its start, first and last string (by place in data), minimizer
+    and its place."""
     ends = np.cumsum(lengths)
     none = np.zeros(0, dtype=np.int64)
     if len(data) < size:
-        return none, ends - lengths, none, none, none
+        return none, ends - lengths, none, none, none, none
     hashes = core_hashes(data)
     bits = np.uint64(max(1, int(len(data)).bit_length()))
     least = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
@@ -75,7 +80,7 @@ def stretches(data: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndar
     a = np.flatnonzero(begins)
     stops = valid & np.append(begins[1:] | ~valid[1:], True)
     b = np.flatnonzero(stops)
-    return text[a], ends - lengths, a, b, hashes[place[a]].view(np.int64)
+    return text[a], ends - lengths, a, b, hashes[place[a]].view(np.int64), place[a]
 
 
 def raw(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
@@ -92,7 +97,7 @@ def occurrences(batches: Iterator[pa.RecordBatch], size: int):
 
 def repeated_minimizers(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, (_, _, _, _, minimizer) in occurrences(batches, size):
+        for _, _, (_, _, _, _, minimizer, _) in occurrences(batches, size):
             m, n = np.unique(minimizer, return_counts=True)
             yield from emit({"m": m, "n": n}, pa.schema([("m", pa.int64()), ("n", pa.int64())]))
 
@@ -100,68 +105,104 @@ def repeated_minimizers(docs: DataFrame, size: int) -> DataFrame:
 
 
 def of_documents(docs: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
-    """(row_key, ms): the repeated minimizers of each document."""
+    """(doc, row_key, ms): the repeated minimizers of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _, (text, _, _, _, minimizer) in occurrences(batches, size):
+        for t, _, (text, _, _, _, minimizer, _) in occurrences(batches, size):
             order = np.lexsort((minimizer, text))
             text, minimizer = text[order], minimizer[order]
             new = np.append(True, (text[1:] != text[:-1]) | (minimizer[1:] != minimizer[:-1])) if len(text) else np.zeros(0, bool)
-            keys = t.column("row_key").to_numpy()
-            yield from emit({"m": minimizer[new], "row_key": keys[text[new]]}, pa.schema([("m", pa.int64()), ("row_key", pa.int64())]))
+            columns = {"m": minimizer[new]} | {c: t.column(c).to_numpy()[text[new]] for c in KEY}
+            yield from emit(columns, pa.schema([(c, pa.int64()) for c in columns]))
+
+    rows = docs.select(*KEY, "text").mapInArrow(run, "m long, doc long, row_key long")
+    return stored(rows.join(repeated.hint("merge"), "m").groupBy(*KEY).agg(F.collect_set("m").alias("ms")))
 
-    rows = docs.select("row_key", "text").mapInArrow(run, "m long, row_key long")
-    return stored(rows.join(repeated.hint("merge"), "m").groupBy("row_key").agg(F.collect_set("m").alias("ms")))
 
+PART = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("core", pa.int32()), ("stretch", pa.binary()), ("row_key", pa.int64())])
+PART_KINDS = "m long, h long, doc long, start long, n long, core int, stretch binary, row_key long"
 
-PART = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("stretch", pa.binary()), ("row_key", pa.int64())])
+
+def stretch_hash(s: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(s) - 2**63
 
 
 def repeated_stretches(docs: DataFrame, minimizers: DataFrame, size: int) -> DataFrame:
-    """Two kinds of rows: distinct stretches of a slab with their first place (row_key null), and (h, doc, row_key)."""
+    """Two kinds of rows: distinct stretches with their first place, copies and place of the minimizer (row_key null), and
+    (m, h, doc, row_key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, data, (text, base, a, b, minimizer) in occurrences(batches, size):
-            docs_, keys, wanted = t.column("doc_id").to_pylist(), t.column("row_key").to_pylist(), t.column("ms").to_pylist()
+        found: dict[bytes, list] = {}
+        volume = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal volume
+            rows = list(found.values())
+            columns = {c: [r[i] for r in rows] for i, c in enumerate(("m", "h", "doc", "start", "n", "core"))}
+            yield from emit(columns | {"stretch": list(found), "row_key": pa.nulls(len(rows), pa.int64())}, PART, 20_000)
+            found.clear()
+            volume = 0
+
+        for t, data, (text, base, a, b, minimizer, place) in occurrences(batches, size):
+            docs_, keys, wanted = t.column("doc").to_pylist(), t.column("row_key").to_pylist(), t.column("ms").to_pylist()
             cuts = np.searchsorted(text, np.arange(len(docs_) + 1))
-            found: dict[int, list] = {}
-            own: list[tuple[int, int, int]] = []
+            own: list[tuple[int, int, int, int]] = []
             for i, ms in enumerate(wanted):
                 lo, hi = int(cuts[i]), int(cuts[i + 1])
                 at = lo + np.flatnonzero(np.isin(minimizer[lo:hi], np.array(ms, dtype=np.int64)))
-                doc, offset, mine = FIRST if docs_[i] is None else docs_[i], int(base[i]), set()
-                for x, y, m in zip(a[at].tolist(), b[at].tolist(), minimizer[at].tolist()):
+                doc, offset, mine = docs_[i], int(base[i]), set()
+                for x, y, m, p in zip(a[at].tolist(), b[at].tolist(), minimizer[at].tolist(), place[at].tolist()):
                     s = data[x : y + size]
-                    h = xxhash.xxh3_64_intdigest(s) - 2**63
-                    mine.add(h)
-                    if (known := found.get(h)) is None:
-                        found[h] = [m, doc, x - offset, 1, s]
+                    if (known := found.get(s)) is None:
+                        h = stretch_hash(s)
+                        found[s] = [m, h, doc, x - offset, 1, p - x]
                     else:
-                        known[3] += 1
-                        if (doc, x - offset) < (known[1], known[2]):
-                            known[1:3] = doc, x - offset
-                own += [(h, doc, keys[i]) for h in mine]
-            hs, rows = list(found), list(found.values())
-            none = [None] * len(own)
-            yield from emit({"m": [r[0] for r in rows] + none, "h": hs + [o[0] for o in own], "doc": [r[1] for r in rows] + [o[1] for o in own], "start": [r[2] for r in rows] + none, "n": [r[3] for r in rows] + none, "stretch": [r[4] for r in rows] + none, "row_key": [None] * len(rows) + [o[2] for o in own]}, PART)
-
-    joined = docs.join(minimizers.hint("merge"), "row_key")
-    return stored(joined.select("doc_id", "row_key", "text", "ms").mapInArrow(run, "m long, h long, doc long, start long, n long, stretch binary, row_key long"))
-
-
-def shared_strings(group: list[list[tuple[int, int, int, bytes]]], size: int) -> dict[int, np.ndarray]:
-    """For stretches (h, doc, start, bytes): which of each one's strings start earlier in another. Keys: h."""
-    flat = [x for stretch in group for x in stretch]
-    data = np.frombuffer(b"".join(x[3] + bytes([STOP]) for x in flat), dtype=np.uint8)
-    lengths = np.array([len(x[3]) + 1 for x in flat])
+                        h = known[1]
+                        known[4] += 1
+                        if (doc, x - offset) < (known[2], known[3]):
+                            known[2:4] = doc, x - offset
+                    mine.add((m, h))
+                own += [(m, h, doc, keys[i]) for m, h in mine]
+            none = pa.nulls(len(own), pa.int64())
+            yield from emit({"m": [o[0] for o in own], "h": [o[1] for o in own], "doc": [o[2] for o in own], "start": none, "n": none, "core": pa.nulls(len(own), pa.int32()), "stretch": pa.nulls(len(own), pa.binary()), "row_key": [o[3] for o in own]}, PART)
+            volume += len(data)
+            if volume >= HELD:
+                yield from flush()
+        yield from flush()
+
+    joined = docs.join(minimizers.hint("merge"), KEY)
+    return stored(joined.select(*KEY, "text", "ms").mapInArrow(run, PART_KINDS))
+
+
+Stretch = tuple[int, int, int, int, bytes]  # h, doc, start, place of the minimizer, bytes
+
+
+def shared_parts(group: list[Stretch], size: int) -> list[tuple[int, int, bytes]]:
+    """(number in the group, first string, bytes) of parts that agree with another's in all that their strings have in common."""
+    half = (size - CORE) // 2
+    by_key: dict[bytes, list[tuple[int, int, bytes]]] = {}
+    for i, (_, _, _, core, s) in enumerate(group):
+        strings = len(s) - size + 1
+        near = min(max(0, core - half), strings)  # strings from here on begin at most ``half`` bytes before the minimizer
+        if near < strings:
+            by_key.setdefault(b">" + s[core : core + size - half], []).append((i, near, s[near:]))
+        if near:
+            by_key.setdefault(b"<" + s[core - half - 1 : core + CORE], []).append((i, 0, s[: near - 1 + size]))
+    return [x for found in by_key.values() if len(found) > 1 for x in found]
+
+
+def earlier(parts: list[tuple[int, int, bytes]], size: int) -> list[np.ndarray]:
+    """For parts (doc, start, bytes): which of each one's strings start earlier in another."""
+    data = np.frombuffer(b"".join(x[2] + bytes([STOP]) for x in parts), dtype=np.uint8)
+    lengths = np.array([len(x[2]) + 1 for x in parts])
     begin = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(flat)), lengths)
+    owner = np.repeat(np.arange(len(parts)), lengths)
     offset = np.arange(len(data)) - begin[owner]
     whole = offset + size < lengths[owner]  # a full string is left before the end
-    order = suffix_array(data, int(lengths.max()) + 8)
+    order = suffix_array(data, size)
     order = order[whole[order]]
     classes = equal_runs(data, order, size)
-    doc, start = np.array([x[1] for x in flat]), np.array([x[2] for x in flat])
+    doc, start = np.array([x[0] for x in parts]), np.array([x[1] for x in parts])
     d, p = doc[owner[order]], start[owner[order]] + offset[order]
     rank = np.lexsort((p, d, classes))
     lead = np.append(True, np.diff(classes[rank]) > 0)
@@ -170,84 +211,137 @@ def shared_strings(group: list[list[tuple[int, int, int, bytes]]], size: int) ->
     later[rank] = (d[rank] != d[first]) | (p[rank] != p[first])
     flags = np.zeros(len(data), dtype=bool)
     flags[order] = later
-    return {x[0]: flags[o : o + len(x[3]) - size + 1] for x, o in zip(flat, begin.tolist())}
+    return [flags[o : o + len(x[2]) - size + 1] for x, o in zip(parts, begin.tolist())]
 
 
-def verdicts(parts: DataFrame, size: int) -> DataFrame:
-    """(h, first_doc, first_start, bits) for stretches with a string that is not everywhere the first."""
+VERDICT = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("bits", pa.binary())])
+VERDICT_KINDS = "m long, h long, first_doc long, first_start long, bits binary"
+
+
+def verdicts(rows: DataFrame, size: int) -> DataFrame:
+    """(m, h, first_doc, first_start, bits) for stretches with a string that is not everywhere the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("bits", pa.binary())])
         out: list[tuple] = []
-        waiting: list[list] = []
+        waiting: list[tuple[int, list[Stretch], list[int]]] = []
+        parts: list[tuple[int, int, int, bytes]] = []  # number among the waiting, in that group, first string, bytes
         volume = 0
-        counts: dict[int, int] = {}
-        current: dict[int, tuple[int, int, int, bytes]] = {}
+        current: dict[bytes, list] = {}  # h, doc, start, core, copies
         minimizer = None
 
         def close() -> None:
             nonlocal volume
             if len(current) > 1:
-                waiting.append(list(current.values()))
-                volume += sum(len(x[3]) for x in current.values())
-            else:
-                out.extend((h, x[1], x[2], None) for h, x in current.items() if counts[h] > 1)
-                counts.clear() if not waiting else None
+                group: list[Stretch] = [(*x[:4], s) for s, x in current.items()]
+                if found := shared_parts(group, size):
+                    parts.extend((len(waiting), *x) for x in found)
+                    waiting.append((minimizer, group, [x[4] for x in current.values()]))
+                    volume += sum(len(x[2]) for x in found)
+                    current.clear()
+            out.extend((minimizer, x[0], x[1], x[2], None) for x in current.values() if x[4] > 1)
             current.clear()
 
         def solve() -> None:
             nonlocal volume
-            if waiting:
-                flags = shared_strings(waiting, size)
-                for group in waiting:
-                    for h, doc, start, _ in group:
-                        f = flags[h]
-                        if counts[h] > 1 or f.any():
-                            out.append((h, doc, start, np.packbits(f).tobytes() if f.any() else None))
-                waiting.clear()
-            counts.clear()
+            if parts:
+                flags = [[None] * len(group) for _, group, _ in waiting]
+                found = earlier([(waiting[w][1][i][1], waiting[w][1][i][2] + at, s) for w, i, at, s in parts], size)
+                for (w, i, at, _), f in zip(parts, found):
+                    if f.any():
+                        if flags[w][i] is None:
+                            flags[w][i] = np.zeros(len(waiting[w][1][i][4]) - size + 1, dtype=bool)
+                        flags[w][i][at : at + len(f)] |= f
+                for (m, group, copies), of in zip(waiting, flags):
+                    out.extend((m, h, doc, start, None if f is None else np.packbits(f).tobytes()) for (h, doc, start, _, _), n, f in zip(group, copies, of) if n > 1 or f is not None)
+            waiting.clear()
+            parts.clear()
             volume = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
-                yield from emit({c: [r[i] for r in out] for i, c in enumerate(schema.names)}, schema)
+                yield from emit({c: [r[i] for r in out] for i, c in enumerate(VERDICT.names)}, VERDICT)
                 out.clear()
 
         for batch in batches:
-            for m, h, doc, start, n, s in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for m, h, doc, start, n, core, s in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if m != minimizer:
-                    close()
+                    if current:
+                        close()
                     if volume >= SORTED_BYTES:
                         solve()
                     minimizer = m
-                if (known := current.get(h)) is None:
-                    current[h], counts[h] = (h, doc, start, s), n
+                if (known := current.get(s)) is None:
+                    current[s] = [h, doc, start, core, n]
                 else:
-                    counts[h] += n
-                    if (doc, start) < known[1:3]:
-                        current[h] = (h, doc, start, s)
+                    known[4] += n
+                    if (doc, start) < (known[1], known[2]):
+                        known[1:3] = doc, start
             yield from flush()
         close()
         solve()
         yield from flush()
 
-    rows = parts.where("row_key is null").select("m", "h", "doc", "start", "n", "stretch")
-    return stored(rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, "h long, first_doc long, first_start long, bits binary"))
+    return rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, VERDICT_KINDS)
+
 
+def dense_verdicts(rows: DataFrame, size: int) -> DataFrame:
+    """The same for stretches of minimizers that have very many: each string goes by itself, none by its minimizer."""
+    least = F.min(F.struct("doc", "start")).alias("first")
+    each = stored(rows.groupBy("m", "h").agg(least, F.sum("n").alias("n"), F.first("stretch").alias("stretch")).select("m", "h", "first.doc", "first.start", "n", "stretch"))
 
-def removed(text: bytes, found: dict[int, tuple[int | None, bytes | None]], size: int) -> np.ndarray:
-    """Which bytes go. ``found``: for a stretch, where its first occurrence starts if that is in this document, and its bits."""
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("i", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("g", pa.binary())])
+        for batch in batches:
+            found = []
+            for m, h, doc, start, s in zip(*(batch.column(c).to_pylist() for c in ("m", "h", "doc", "start", "stretch"))):
+                found += [(m, h, i, doc, start + i, xxhash.xxh3_128_digest(s[i : i + size])) for i in range(len(s) - size + 1)]
+            yield from emit({c: [r[i] for r in found] for i, c in enumerate(schema.names)}, schema)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for at in batch.column("at").to_pylist():
+                f = np.zeros(max(at) + 1 if at else 0, dtype=bool)
+                f[at or []] = True
+                bits.append(np.packbits(f).tobytes() if at else None)
+            yield pa.record_batch([*(batch.column(c) for c in ("m", "h", "first_doc", "first_start")), pa.array(bits, pa.binary())], schema=VERDICT)
+
+    all_ = each.mapInArrow(strings, "m long, h long, i int, doc long, start long, g binary")
+    firsts = all_.groupBy("g").agg(least, F.count("*").alias("places")).where("places > 1").select("g", "first")
+    later = all_.join(firsts.hint("merge"), "g").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    flagged = later.groupBy("m", "h").agg(F.collect_set("i").alias("at"))  # as many numbers as a stretch has strings
+    judged = each.join(flagged.hint("merge"), ["m", "h"], "left").where("n > 1 or at is not null")
+    return judged.select("m", "h", F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "at").mapInArrow(packed, VERDICT_KINDS)
+
+
+def all_verdicts(parts: DataFrame, size: int, dense: int) -> DataFrame:
+    rows = parts.where("row_key is null").select("m", "h", "doc", "start", "n", "core", "stretch")
+    heavy = stored(rows.groupBy("m").count().where(F.col("count") > dense).select("m"))
+    if heavy.isEmpty():
+        discard(heavy)
+        return stored(verdicts(rows, size))
+    light = verdicts(rows.join(heavy.hint("merge"), "m", "left_anti"), size)
+    found = stored(light.unionByName(dense_verdicts(rows.join(heavy.hint("merge"), "m", "left_semi"), size)))
+    discard(heavy)
+    return found
+
+
+def removed(text: bytes, found: dict[tuple[int, int], tuple[int | None, bytes | None]], size: int) -> np.ndarray:
+    """Which bytes go. ``found``: for a stretch (by minimizer and hash), where its first occurrence starts if that is in this
+    document, and its bits."""
+    minimizers = np.array([m for m, _ in found])
     edge = np.zeros(len(text) + 1, dtype=np.int64)
-    _, _, a, b, _ = stretches(np.frombuffer(text, dtype=np.uint8), np.array([len(text)]), size)
-    for x, y in zip(a.tolist(), b.tolist()):
-        v = found.get(xxhash.xxh3_64_intdigest(text[x : y + size]) - 2**63)
+    _, _, a, b, minimizer, _ = stretches(np.frombuffer(text, dtype=np.uint8), np.array([len(text)]), size)
+    wanted = np.flatnonzero(np.isin(minimizer, minimizers))
+    for x, y, m in zip(a[wanted].tolist(), b[wanted].tolist(), minimizer[wanted].tolist()):
+        v = found.get((m, stretch_hash(text[x : y + size])))
         if v is None:
             continue
         if v[0] != x:
             edge[x] += 1
             edge[y + size] -= 1
         elif v[1]:
-            at = x + np.flatnonzero(np.unpackbits(np.frombuffer(v[1], dtype=np.uint8))[: y - x + 1])
+            at = x + np.flatnonzero(np.unpackbits(np.frombuffer(v[1], dtype=np.uint8)))
             edge[at] += 1  # places differ from each other
             edge[at + size] -= 1
     return np.cumsum(edge[:-1]) > 0
@@ -256,26 +350,30 @@ def removed(text: bytes, found: dict[int, tuple[int | None, bytes | None]], size
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, texts: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, texts: bool = False, dense: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with ``texts`` also
     kept (binary: a cut may fall inside a character).
 
     A byte goes if a string of ``length`` bytes covers it that also starts earlier: in a smaller doc_id, or in the same document
     at an earlier place. Null and empty texts have no bytes; a null doc_id comes before all others; rows that repeat a doc_id
     are not held against one another beyond what they hold against themselves; an empty table gives no rows; further columns
-    are ignored.
+    are ignored. ``dense`` does not change the result.
     """
     spark, data = docs.sparkSession, with_key(narrow(docs))
-    minimizers = of_documents(data, repeated_minimizers(data, length), length)
+    repeated = repeated_minimizers(data, length)
+    minimizers = of_documents(data, repeated, length)
+    discard(repeated)
     release(spark)
     parts = repeated_stretches(data, minimizers, length)
+    discard(minimizers)
     release(spark)
-    found = verdicts(parts, length)
+    found = all_verdicts(parts, length, dense)
     release(spark)
-    own = parts.where("row_key is not null").select("h", "doc", "row_key")
-    again = own.join(found.hint("merge"), "h")
+    own = parts.where("row_key is not null").select("m", "h", "doc", "row_key")
+    again = own.join(found.hint("merge"), ["m", "h"])
     here = F.col("doc") == F.col("first_doc")
-    results = stored(again.groupBy("row_key").agg(F.collect_list(F.struct("h", F.when(here, F.col("first_start")).alias("start"), F.when(here, F.col("bits")).alias("bits"))).alias("found")))
+    results = stored(again.groupBy(*KEY).agg(F.collect_list(F.struct("m", "h", F.when(here, F.col("first_start")).alias("start"), F.when(here, F.col("bits")).alias("bits"))).alias("found")))
+    discard(parts, found)
     release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +384,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, texts: bool = False) -> Data
                 gone = 0
                 kept = raw_text
                 if hits:
-                    mask = removed(raw_text, {x["h"]: (x["start"], x["bits"]) for x in hits}, length)
+                    mask = removed(raw_text, {(x["m"], x["h"]): (x["start"], x["bits"]) for x in hits}, length)
                     gone = int(mask.sum())
                     if gone:
                         spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
@@ -295,5 +393,5 @@ def dedup_bytes(docs: DataFrame, length: int = 100, texts: bool = False) -> Data
             schema = OUT.append(pa.field("kept", pa.binary())) if texts else OUT
             yield from emit({c: [r[i] for r in rows] for i, c in enumerate(schema.names)}, schema)
 
-    joined = data.join(results.hint("merge"), "row_key", "left").select("doc_id", "text", "found")
+    joined = data.join(results.hint("merge"), KEY, "left").select("doc_id", "text", "found")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
