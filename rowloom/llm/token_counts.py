@@ -53,6 +53,7 @@ class TokenCounter:
     def __init__(self, path: str, chunk_chars: int = 65_536, overlap_chars: int = 1_024):
         self.chunk, self.overlap = chunk_chars, overlap_chars
         self.pieces: dict[str, int] = {}
+        self.cleared = 0
         self.sp = None
         if path.endswith(".model"):
             import sentencepiece
@@ -77,6 +78,7 @@ class TokenCounter:
     def learn(self, found: set[str]) -> None:
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
+            self.cleared += 1
         tokenize = self.tok.model.tokenize
         for x in found.difference(self.pieces):
             self.pieces[x] = 1 if x in self.specials else len(tokenize(x.encode().decode("latin-1").translate(BYTE_CHARS)))
@@ -136,16 +138,17 @@ class TokenCounter:
         for i in range(0, len(texts), 512):
             part = texts[i : i + 512]
             split = [self.split(x) if len(x) <= self.chunk else None for x in part]
-            self.learn(set().union(*(x for x in split if x is not None)))
-            known = self.pieces.__getitem__
+            wanted = set().union(*(x for x in split if x is not None))
+            self.learn(wanted)
+            known, cleared = self.pieces.__getitem__, self.cleared
             for text, found in zip(part, split):
                 if found is not None:
                     out.append(sum(map(known, found)))
                 elif len(text) > self.chunk:
                     out.append(self.spliced(text))
-                    known = self.pieces.__getitem__
-                    if len(self.pieces) < KEPT_PIECES // 100:  # the store was cleared meanwhile
-                        self.learn(set().union(*(x for x in split if x is not None)))
+                    if self.cleared != cleared:
+                        self.learn(wanted)
+                        cleared = self.cleared
                 else:
                     out.append(len(self.tok.encode(text, add_special_tokens=False).ids))
         return out
