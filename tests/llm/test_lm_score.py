@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import narrow
-from rowloom.llm.lm_score import END, HELD_OUT, SAMPLES, STRENGTH, Pairs, draw, fit, numbers_of, pack, score_documents, stirling, uniform, unpack, word_hash
+from rowloom.llm.lm_score import END, HELD_OUT, SAMPLES, STRENGTH, Pairs, draw, fit, numbers_of, score_documents, stirling, uniform, word_hash
+from rowloom.llm.packing import pack, unpack
 
 
 def brute(rows):
