@@ -1,16 +1,27 @@
-"""Eight joins over one predicate algebra."""
+"""Eight joins over one predicate algebra.
+
+Equalities become equi-joins. Comparisons and intervals become equi-joins as well, of ranges: the values of one side are cut into
+BUCKETS ranges by a small sample of them; each of its rows goes to the one range that holds it, and each row of the other side to
+all ranges that can hold a partner, at most BUCKETS. A pair meets once, and but for the ranges at the ends all pairs that meet are
+results. Alternatives become a union of such joins, of which each leaves out what earlier ones found. Only opaque conditions and
+inequalities compare all with all.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..field import Field, Header
 from ..record import Record, as_column
 from .builders import Projection, no_repeats
-from .predicates import On, null_safe
+from .predicates import FLIPPED, Interval, On, Pred, null_safe
+from .predicates import LEFT as SIDE_LEFT
+from .predicates import RIGHT as SIDE_RIGHT
 
 LEFT, RIGHT = "l__", "r__"
 LEFT_MARK, RIGHT_MARK = "l__there", "r__there"
@@ -66,36 +77,120 @@ def prefixed(df: DataFrame, header: Header, prefix: str, mark: str | None) -> Da
     return df.select(*columns, *([F.lit(True).alias(mark)] if mark else []))
 
 
+BUCKETS = 64
+BUCKET, CUTS = "__bucket", "__cuts"
+
+
+def cuts_of(df: DataFrame, value: Column) -> Column:
+    """A scalar: sorted values that cut those of ``df`` into at most BUCKETS ranges. They are drawn by hash, so that every use of
+    the column gives the same ones."""
+    some = df.select(value.alias("v")).where("v is not null").distinct().orderBy(F.xxhash64("v"), "v").limit(BUCKETS - 1)
+    return some.agg(F.array_sort(F.collect_list("v"))).scalar()
+
+
+def bucket(value: Column) -> Column:
+    """Null is lowest and has the range 0."""
+    return F.when(value.isNull(), 0).otherwise(1 + F.size(F.filter(F.col(CUTS), lambda c: c <= value)))
+
+
+def in_buckets(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """A copy of each row for each range from first to last."""
+    low, high = f"{BUCKET}_low", f"{BUCKET}_high"
+    held = df.withColumns({low: first, high: last}).where(F.col(low) <= F.col(high))
+    return held.withColumn(BUCKET, F.explode(F.sequence(low, high))).drop(low, high, CUTS)
+
+
+def met(one: DataFrame, other: DataFrame, pred: Pred, side: int, how: str) -> DataFrame:
+    """Join by ``pred.search``. ``one`` is of the given side, and in one range each; an interval's point must be of that side."""
+    if isinstance(pred.search, Interval):
+        x = pred.search
+        value, first, last = x.point, bucket(x.low), bucket(x.high)
+    else:
+        op, a, b = pred.search
+        value, partner, below = (a, b, op in ("gt", "gte")) if side == SIDE_LEFT else (b, a, op in ("lt", "lte"))
+        first, last = (bucket(partner), F.size(CUTS) + 1) if below else (F.lit(0), bucket(partner))
+    cuts = cuts_of(one, value)
+    mine = one.withColumn(CUTS, cuts).withColumn(BUCKET, bucket(value)).drop(CUTS)
+    theirs = in_buckets(other.withColumn(CUTS, cuts), first, last).withColumnRenamed(BUCKET, f"{BUCKET}_of")
+    return mine.join(theirs, (F.col(BUCKET) == F.col(f"{BUCKET}_of")) & pred.column, how).drop(BUCKET, f"{BUCKET}_of")
+
+
+def pairs(left: DataFrame, right: DataFrame, pred: Pred) -> DataFrame:
+    """The inner join."""
+    if pred.equi:
+        return left.join(right, pred.column, "inner")
+    if pred.search is not None:
+        if isinstance(pred.search, Interval) and pred.search.point_side == SIDE_RIGHT:
+            return met(right, left, pred, SIDE_RIGHT, "inner").select(*left.columns, *right.columns)
+        return met(left, right, pred, SIDE_LEFT, "inner")
+    if pred.parts:
+        found, before = None, None
+        for p in pred.parts:
+            part = pairs(left, right, p if before is None else replace(p, column=p.column & ~before, parts=tuple(replace(x, column=x.column & ~before) for x in p.parts)))
+            found = part if found is None else found.union(part)
+            before = p.column if before is None else before | p.column
+        return found
+    return left.join(right, pred.column, "inner")
+
+
+def having(kept: DataFrame, other: DataFrame, pred: Pred, side: int, how: str) -> DataFrame:
+    """``how``: left_semi or left_anti. The rows of ``kept``, of the given side, that have a partner, or that have none."""
+    if pred.range and not kept.isStreaming:
+        return by_extreme(kept, other, pred.range, side, how == "left_semi")
+    if pred.equi or kept.isStreaming or other.isStreaming:
+        return kept.join(other, pred.column, how)
+    if isinstance(pred.search, Interval) and pred.search.point_side != side:
+        # intervals that hold a point, as values: rows that agree in all columns share their fate
+        at = [f"__value_{i}" for i in range(len(kept.columns))]
+        found = met(other, kept, pred, SIDE_LEFT + SIDE_RIGHT - side, "inner").select(*[F.col(c).alias(v) for c, v in zip(kept.columns, at)]).distinct()
+        return kept.join(found, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(v)) for c, v in zip(kept.columns, at)]), how)
+    if pred.search is not None:
+        return met(kept, other, pred, side, how)
+    if pred.parts:
+        rest, found = kept, None
+        for p in pred.parts:
+            if how == "left_semi":
+                part = having(rest, other, p, side, "left_semi")
+                found = part if found is None else found.union(part)
+            rest = having(rest, other, p, side, "left_anti")
+        return rest if how == "left_anti" else found
+    return kept.join(other, pred.column, how)
+
+
+def by_extreme(kept: DataFrame, other: DataFrame, plain: tuple[str, Column, Column], side: int, wanted: bool) -> DataFrame:
+    """For a single comparison the other side's extreme, one row, decides."""
+    op, a, b = plain if side == SIDE_LEFT else (FLIPPED[plain[0]], plain[2], plain[1])
+    key = F.struct(b.isNotNull().alias("there"), b.alias("v"))  # null lowest
+    bound = other.agg((F.min(key) if op in ("gt", "gte") else F.max(key)).alias("__bound"), F.count(F.lit(1)).alias("__n"))
+    hit = (F.col("__n") > 0) & null_safe(op, a, F.col("__bound.v"))
+    return kept.join(F.broadcast(bound), hit if wanted else ~hit, "left_semi")  # one row
+
+
 def outer_join(kind: str, left: DataFrame, left_header: Header, right: DataFrame, right_header: Header, on, select) -> tuple[DataFrame, Header]:
     """``kind``: inner, left, right or full. Sides that may be missing carry a marker that is null for nil records."""
     marks = {"inner": (None, None), "left": (None, RIGHT_MARK), "right": (LEFT_MARK, None), "full": (LEFT_MARK, RIGHT_MARK)}[kind]
     a, b = Record(left_header, LEFT, marks[0]), Record(right_header, RIGHT, marks[1])
     pred = on(On(a, b))
-    joined = prefixed(left, left_header, LEFT, marks[0]).join(prefixed(right, right_header, RIGHT, marks[1]), pred.column, kind)
+    one, two = prefixed(left, left_header, LEFT, marks[0]), prefixed(right, right_header, RIGHT, marks[1])
+    if pred.equi or pred.search is None and not pred.parts or left.isStreaming or right.isStreaming:
+        joined = one.join(two, pred.column, kind)
+    else:
+        joined = pairs(one, two, pred)
+        if kind in ("left", "full"):
+            joined = joined.unionByName(having(one, two, pred, SIDE_LEFT, "left_anti"), allowMissingColumns=True)
+        if kind in ("right", "full"):
+            joined = joined.unionByName(having(two, one, pred, SIDE_RIGHT, "left_anti"), allowMissingColumns=True)
     out = JoinSelect(a, b)
     select(out)
     return out.apply(joined, [])
 
 
 def semi_join(kind: str, left: DataFrame, left_header: Header, right: DataFrame, right_header: Header, on) -> DataFrame:
-    """``kind``: any, none, all or not_all. As predicates are two-valued, all is none of the negation.
-
-    A single comparison of the two sides needs only the right side's extremes: one row, however large that side is.
-    """
+    """``kind``: any, none, all or not_all. As predicates are two-valued, all is none of the negation."""
     a, b = Record(left_header, LEFT), Record(right_header, RIGHT)
-    pred = on(On(a, b))
+    j = On(a, b)
+    pred = on(j) if kind in ("any", "none") else j.not_(on(j))
     extra = [c for c in left.columns if c not in {f.column for f in left_header}]
     sided = left.select(*[F.col(f.column).alias(LEFT + f.column) for f in left_header], *extra)
-    other = prefixed(right, right_header, RIGHT, None)
-    if pred.range and not left.isStreaming:
-        op, x, y = pred.range
-        key = F.struct(y.isNotNull().alias("there"), y.alias("v"))  # null lowest
-        least = (op in ("gt", "gte")) == (kind in ("any", "none"))
-        bound = other.agg((F.min(key) if least else F.max(key)).alias("__bound"), F.count(F.lit(1)).alias("__n"))
-        met = null_safe(op, x, F.col("__bound.v"))
-        wanted = {"any": (F.col("__n") > 0) & met, "none": (F.col("__n") == 0) | ~met, "all": (F.col("__n") == 0) | met, "not_all": (F.col("__n") > 0) & ~met}[kind]
-        kept = sided.join(F.broadcast(bound), wanted, "left_semi")  # one row
-    else:
-        condition = pred.column if kind in ("any", "none") else ~pred.column
-        kept = sided.join(other, condition, "left_semi" if kind in ("any", "not_all") else "left_anti")
+    kept = having(sided, prefixed(right, right_header, RIGHT, None), pred, SIDE_LEFT, "left_semi" if kind in ("any", "not_all") else "left_anti")
     return kept.select(*[F.col(LEFT + f.column).alias(f.column) for f in left_header], *extra)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,12 +23,35 @@ class Expr:
     sides: int
 
 
+@dataclass(frozen=True, eq=False)
+class Interval:
+    """A value of one side between two of the other, both ends included."""
+
+    point_side: int
+    point: Column
+    low: Column
+    high: Column
+
+
 @dataclass(frozen=True, eq=False)
 class Pred:
-    """A condition that is never null. ``range``: (operator, left operand, right operand) of a plain comparison of the two sides."""
+    """A condition that is never null, and how a join may look for its pairs.
+
+    ``range``: (operator, left operand, right operand) if it is a plain comparison of the two sides. ``search``: a comparison or an
+    interval that all pairs satisfy. ``equi``: all pairs agree in some expression of each side. ``parts``: conditions of which one
+    holds for every pair. ``one_sided``: each side is judged by itself.
+    """
 
     column: Column
     range: tuple[str, Column, Column] | None = None
+    search: tuple[str, Column, Column] | Interval | None = None
+    equi: bool = False
+    parts: tuple[Pred, ...] = ()
+    one_sided: bool = False
+
+    def indexed(self) -> bool:
+        """Pairs are found without comparing all with all, or all with all are asked for."""
+        return self.equi or self.one_sided or self.search is not None or bool(self.parts)
 
 
 def null_safe(op: str, a: Column, b: Column) -> Column:
@@ -44,6 +67,7 @@ def null_safe(op: str, a: Column, b: Column) -> Column:
 
 
 FLIPPED = {"gt": "lt", "gte": "lte", "lt": "gt", "lte": "gte"}
+NEGATED = {"gt": "lte", "gte": "lt", "lt": "gte", "lte": "gt"}
 
 
 class On:
@@ -72,7 +96,8 @@ class On:
         plain = None
         if op in FLIPPED and {a.sides, b.sides} == {LEFT, RIGHT}:
             plain = (op, a.column, b.column) if a.sides == LEFT else (FLIPPED[op], b.column, a.column)
-        return Pred(null_safe(op, a.column, b.column), plain)
+        across = {a.sides, b.sides} == {LEFT, RIGHT}
+        return Pred(null_safe(op, a.column, b.column), plain, plain, equi=op == "eq" and across, one_sided=not across)
 
     def eq(self, a: Expr, b: Expr) -> Pred:
         return self._compare("eq", a, b)
@@ -95,22 +120,43 @@ class On:
         return self._compare("lte", a, b)
 
     def between(self, tested: Expr, low: Expr, high: Expr) -> Pred:
-        return self.all(self.gte(tested, low), self.lte(tested, high))
+        both = self.all(self.gte(tested, low), self.lte(tested, high))
+        if low.sides == high.sides and {tested.sides, low.sides} == {LEFT, RIGHT}:
+            return replace(both, search=Interval(tested.sides, tested.column, low.column, high.column))
+        return both
 
     def not_(self, pred: Pred) -> Pred:
-        return Pred(~pred.column)
+        if pred.range:
+            op, a, b = pred.range
+            plain = (NEGATED[op], a, b)
+            return Pred(~pred.column, plain, plain)
+        return Pred(~pred.column, one_sided=pred.one_sided)
 
     def any(self, *preds: Pred) -> Pred:
-        return preds[0] if len(preds) == 1 else Pred(reduce(lambda a, b: a | b, [p.column for p in preds], F.lit(False)) if preds else F.lit(False))
+        if len(preds) == 1:
+            return preds[0]
+        whole = reduce(lambda a, b: a | b, [p.column for p in preds], F.lit(False))
+        one_sided = all(p.one_sided for p in preds)
+        return Pred(whole, one_sided=one_sided, parts=preds if not one_sided and all(p.indexed() for p in preds) else ())
 
     def all(self, *preds: Pred) -> Pred:
-        return preds[0] if len(preds) == 1 else Pred(reduce(lambda a, b: a & b, [p.column for p in preds]) if preds else F.lit(True))
+        if len(preds) == 1:
+            return preds[0]
+        whole = reduce(lambda a, b: a & b, [p.column for p in preds]) if preds else F.lit(True)
+        equi, found = any(p.equi for p in preds), [p.search for p in preds if p.search is not None]
+        search = next((x for x in found if isinstance(x, Interval)), found[0] if found else None)
+        parts: tuple[Pred, ...] = ()
+        if not equi and search is None:  # an alternative inside, each with the other conditions
+            at = next((i for i, p in enumerate(preds) if p.parts), None)
+            if at is not None:
+                parts = tuple(self.all(x, *preds[:at], *preds[at + 1 :]) for x in preds[at].parts)
+        return Pred(whole, None, None if equi else search, equi, parts, all(p.one_sided for p in preds))
 
     def left_match(self, test: Callable[[Record], Column]) -> Pred:
-        return Pred(F.coalesce(as_column(test(self._left)), F.lit(False)))
+        return Pred(F.coalesce(as_column(test(self._left)), F.lit(False)), one_sided=True)
 
     def right_match(self, test: Callable[[Record], Column]) -> Pred:
-        return Pred(F.coalesce(as_column(test(self._right)), F.lit(False)))
+        return Pred(F.coalesce(as_column(test(self._right)), F.lit(False)), one_sided=True)
 
     def match(self, test: Callable[[Record, Record], Column]) -> Pred:
         return Pred(F.coalesce(as_column(test(self._left, self._right)), F.lit(False)))

@@ -94,18 +94,10 @@ def recursive(start: RecordStream, step: Callable[[RecordStream], RecordStream],
     raise RecursionError(f"not finished after {max_depth} levels: is there a cycle?")
 
 
-def range_join(left: RecordStream, right: RecordStream, point: Field, low: Field, high: Field, width: float, select) -> RecordStream:
-    """Inner join of points to intervals that hold them (both ends included), as an equi-join of buckets of ``width``.
-
-    An interval goes to each bucket it touches, a point to one, so every pair meets once. Choose a width near the usual interval
-    length. Rows with a null bound or point do not take part.
-    """
-    bucket, spot = Field("bucket", "long"), Field("bucket", "long")
-    points = left.filter(lambda r: r[point].isNotNull()).select(lambda s: s.all_fields().field(spot, lambda r: F.floor(r[point] / width)))
-    held = right.filter(lambda r: r[low].isNotNull() & (r[low] <= r[high]))
-    spread = lateral(held, lambda r: F.sequence(F.floor(r[low] / width), F.floor(r[high] / width)), [bucket])
-    on = lambda j: j.all(j.eq(j.left(spot), j.right(bucket)), j.match(lambda a, b: a[point].between(b[low], b[high])))
-    return points.join(spread, on, select)
+def range_join(left: RecordStream, right: RecordStream, point: Field, low: Field, high: Field, select) -> RecordStream:
+    """Inner join of points to intervals that hold them, both ends included. Rows with a null bound or point do not take part."""
+    points, held = left.filter(lambda r: r[point].isNotNull()), right.filter(lambda r: r[low].isNotNull() & (r[low] <= r[high]))
+    return points.join(held, lambda j: j.between(j.left(point), j.right(low), j.right(high)), select)
 
 
 def top(stream: RecordStream, n: int, *by: SortKey) -> RecordStream:

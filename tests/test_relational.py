@@ -292,7 +292,7 @@ def test_range_join_against_brute_force(spark):
     pts = [(1, 5), (2, 17), (3, -4), (4, None), (5, 30)]
     ivs = [(1, 0, 5), (2, 5, 31), (3, -9, -4), (4, 8, 3), (5, None, 40), (6, 17, 17)]
     p, lo, hi, left, right = Field("p", "int"), Field("lo", "int"), Field("hi", "int"), Field("left", "int"), Field("right", "int")
-    out = recipes.range_join(rows(spark, [left, p], pts), rows(spark, [right, lo, hi], ivs), p, lo, hi, 7, lambda s: s.left_field(left).right_field(right))
+    out = recipes.range_join(rows(spark, [left, p], pts), rows(spark, [right, lo, hi], ivs), p, lo, hi, lambda s: s.left_field(left).right_field(right))
     want = sorted((i, k) for i, x in pts for k, a, b in ivs if None not in (x, a, b) and a <= x <= b)
     assert got(out) == want
 
@@ -312,3 +312,49 @@ def test_streams_refuse_what_needs_an_end(spark, tmp_path):
         q = getattr(s, f"left_{kind}_match")(static, on).to_df().writeStream.format("memory").queryName(f"m_{kind}").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(f"m_{kind}").count() == n
+
+
+NULLABLE = [None, None, -3, 0, 1, 1, 2, 5, 5, 9, 40]
+
+
+def _low(v):
+    return (v is not None, v or 0)
+
+
+CONDITIONS = {
+    "gt": (lambda j, x, a, b: j.gt(j.left(x), j.right(a)), lambda x, a, b: _low(x) > _low(a)),
+    "lte reversed": (lambda j, x, a, b: j.lte(j.right(a), j.left(x)), lambda x, a, b: _low(a) <= _low(x)),
+    "between": (lambda j, x, a, b: j.between(j.left(x), j.right(a), j.right(b)), lambda x, a, b: _low(a) <= _low(x) <= _low(b)),
+    "between, other way": (lambda j, x, a, b: j.between(j.right(a), j.left(x), j.left(lambda r: r[x] + 3)), lambda x, a, b: _low(x) <= _low(a) <= _low(None if x is None else x + 3)),
+    "two comparisons": (lambda j, x, a, b: j.all(j.gte(j.left(x), j.right(a)), j.lt(j.left(x), j.right(b))), lambda x, a, b: _low(a) <= _low(x) < _low(b)),
+    "not": (lambda j, x, a, b: j.not_(j.lt(j.left(x), j.right(b))), lambda x, a, b: _low(x) >= _low(b)),
+    "any": (lambda j, x, a, b: j.any(j.eq(j.left(x), j.right(a)), j.gt(j.left(x), j.right(b)), j.all(j.eq(j.left(x), j.val(1)), j.eq(j.right(b), j.val(2)))), lambda x, a, b: x == a or _low(x) > _low(b) or (x == 1 and b == 2)),
+    "all of any": (lambda j, x, a, b: j.all(j.gte(j.right(b), j.val(1)), j.any(j.eq(j.left(x), j.right(a)), j.between(j.left(x), j.right(a), j.right(b)))), lambda x, a, b: _low(b) >= _low(1) and (x == a or _low(a) <= _low(x) <= _low(b))),
+}
+
+
+@pytest.mark.parametrize("name", CONDITIONS)
+def test_indexed_joins_against_brute_force(spark, name):
+    """Nulls, repeats, empty intervals; every kind of join; nothing compares all with all."""
+    condition, holds = CONDITIONS[name]
+    x, a, b, n, m = (Field(c, "int") for c in ("x", "a", "b", "n", "m"))
+    left = list(enumerate(NULLABLE))
+    right = [(i, NULLABLE[i % 11], NULLABLE[(3 * i + 1) % 11]) for i in range(14)]
+    one, two = rows(spark, [n, x], left), rows(spark, [m, a, b], right)
+    on = lambda j: condition(j, x, a, b)
+    out = lambda s: s.left_field(n).right_field(m)
+    pairs = [(i, k) for i, v in left for k, p, q in right if holds(v, p, q)]
+    lone = [(i, None) for i, _ in left if i not in {i for i, _ in pairs}]
+    alone = [(None, k) for k, _, _ in right if k not in {k for _, k in pairs}]
+    for kind, want in (("join", pairs), ("left_join", pairs + lone), ("right_join", pairs + alone), ("full_join", pairs + lone + alone)):
+        got = getattr(one, kind)(two, on, out)
+        assert sorted(map(str, map(tuple, got.to_array()))) == sorted(map(str, want)), kind
+        if kind == "join" and name not in ("any", "all of any"):
+            plan = got.df._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+    met = {i for i, _ in pairs}
+    every = {i for i, v in left if all(holds(v, p, q) for _, p, q in right)}
+    for kind, want in (("left_any_match", met), ("left_none_match", {i for i, _ in left} - met), ("left_all_match", every), ("left_not_all_match", {i for i, _ in left} - every)):
+        assert sorted(r[0] for r in getattr(one, kind)(two, on).to_array()) == sorted(want), kind
+    none = two.filter(lambda r: r[m] < 0)
+    assert one.join(none, on, out).to_array() == [] and len(one.left_join(none, on, out).to_array()) == 11 and len(none.right_join(one, lambda j: j.gt(j.left(a), j.right(x)), lambda s: s.right_field(n)).to_array()) == 11
