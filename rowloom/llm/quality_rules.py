@@ -1,8 +1,8 @@
 """Quality rules, and an isolation forest over their statistics.
 
-Every text gets a row of rule statistics. For each ratio among them a rule has an ordinary range, taken from documents labelled
-clean; the rule's statistic is how far a document lies outside. An isolation forest (random axis splits over small subsamples)
-turns these into an anomaly score: the shorter the mean path to a row's leaf, the more anomalous the document. Ranges, forest
+Every text gets a row of rule statistics. Rules that labelled rejects break far more often than clean documents do (by the range
+of clean documents) are selected, and an isolation forest (random axis splits over small subsamples) over the values of these
+statistics gives an anomaly score: the shorter the mean path to a row's leaf, the more anomalous the document. Selection, forest
 and threshold are fitted on a bounded sample of labelled documents; scoring covers every document.
 """
 
@@ -23,6 +23,8 @@ RATIOS = ("word_length", "symbols", "upper", "digits", "marks", "dup_lines", "re
 WINDOW = 8
 #: Drawn rejects for each drawn clean document.
 REJECT_SHARE = 0.05
+#: A statistic is selected if this share of the rejects lies outside the range of clean documents.
+TELLING = 0.03
 SYMBOLS = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
 BLANKS = np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8)
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -82,7 +84,7 @@ def path_constant(n: float) -> float:
 class IsolationForest:
     """``weight``: how often a row is drawn; few rejects in a subsample keep them from hiding one another."""
 
-    def __init__(self, rows: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7, weight: np.ndarray | None = None):
+    def __init__(self, rows: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 7, weight: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         share = np.ones(len(rows)) if weight is None else weight
         self.size = min(sample, int((share > 0).sum()))
@@ -128,31 +130,28 @@ class IsolationForest:
 
 
 class Verdict:
-    """The fitted ranges, forest and threshold; without enough labelled rows only the base rules judge."""
+    """The selected statistics, the forest and the threshold; without enough labelled rows only the base rules judge."""
 
     def __init__(self, ratios: np.ndarray, good: np.ndarray, max_clean_loss: float):
         self.forest, self.threshold = None, math.inf
         if good.sum() < 8:
             return
-        self.low, self.high = np.quantile(ratios[good], [max_clean_loss, 1 - max_clean_loss], axis=0)
-        self.scale = np.maximum(self.high - self.low, 0.01)
         self.used = np.ones(ratios.shape[1], dtype=bool)
-        outside = self.excess(ratios) > 0
-        if not good.all():  # rules that labelled rejects break far more often than clean documents do
-            self.used = outside[~good].mean(axis=0) > 5 * outside[good].mean(axis=0) + 0.005
-        self.forest = IsolationForest(self.excess(ratios), weight=np.where(good, 1.0, REJECT_SHARE * good.sum() / max(1, (~good).sum())))
+        if not good.all():
+            low, high = np.quantile(ratios[good], [max_clean_loss, 1 - max_clean_loss], axis=0)
+            outside = (ratios < low) | (ratios > high)
+            telling = outside[~good].mean(axis=0) > 5 * outside[good].mean(axis=0) + TELLING
+            self.used = telling if telling.any() else self.used
+        self.forest = IsolationForest(ratios[:, self.used], weight=np.where(good, 1.0, REJECT_SHARE * good.sum() / max(1, (~good).sum())))
         scores = self.score(ratios)
         clean, bad = np.sort(scores[good]), scores[~good]
         top = clean[max(0, math.ceil((1 - max_clean_loss) * len(clean)) - 1)]
         above = bad[bad > top]
         self.threshold = float((top + above.min()) / 2 if len(above) else clean[-1])
 
-    def excess(self, ratios: np.ndarray) -> np.ndarray:
-        return np.log1p(np.maximum(np.maximum(self.low - ratios, ratios - self.high), 0) / self.scale) * self.used
-
     def score(self, ratios: list[list[float]] | np.ndarray) -> np.ndarray:
         rows = np.array(ratios, dtype=float).reshape(-1, len(RATIOS))
-        return self.forest.score(self.excess(rows)) if self.forest else np.zeros(len(rows))
+        return self.forest.score(rows[:, self.used]) if self.forest else np.zeros(len(rows))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -163,15 +162,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Da
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, max_clean_loss: float = 0.003) -> Verdict:
-    """Statistics of the sample are collected, texts are not: at most ``max_labelled`` short rows (repeated doc_ids: as many more)."""
+    """Statistics of the sample are collected, texts are not: at most ``max_labelled`` short rows, of a repeated doc_id the least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slabs(batches):
             found = [measure(x) for x in t.column("text").to_pylist()]
             failed = [base_failed(c[0], c[4]) for c, _ in found]
-            yield from emit({"good": [q > 0 for q in t.column("quality").to_pylist()], "failed": failed, "ratios": [r for _, r in found]}, pa.schema([("good", pa.bool_()), ("failed", pa.bool_()), ("ratios", pa.list_(pa.float64()))]))
+            yield from emit({"doc_id": t.column("doc_id"), "good": [q > 0 for q in t.column("quality").to_pylist()], "failed": failed, "ratios": [r for _, r in found]}, pa.schema([("doc_id", pa.int64()), ("good", pa.bool_()), ("failed", pa.bool_()), ("ratios", pa.list_(pa.float64()))]))
 
-    rows = labelled_sample(docs, labels, max_labelled).mapInArrow(run, "good boolean, failed boolean, ratios array<double>").limit(2 * max_labelled).collect()
+    each = labelled_sample(docs, labels, max_labelled).mapInArrow(run, "doc_id long, good boolean, failed boolean, ratios array<double>")
+    rows = each.groupBy("doc_id").agg(F.min(F.struct("failed", "ratios", "good")).alias("x")).select("x.*").collect()
     rows = sorted((tuple(r.ratios), r.good) for r in rows if not r.failed)
     return Verdict(np.array([r for r, _ in rows], dtype=float).reshape(-1, len(RATIOS)), np.array([g for _, g in rows], dtype=bool), max_clean_loss)
 
@@ -205,7 +205,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, max_clean_loss: float = 0.003) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    Null and empty texts go (they fail the base rules); repeated rows stay or go together; an empty table gives no rows; without
+    labels the base rules alone decide; no column name is reserved.
+    """
     verdict = fit(docs, labels, max_labelled, max_clean_loss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
