@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.llm.quality_classifier import SIZES, Logistic, buckets, classify, present
+from rowloom.llm.quality_classifier import PAGE, SIZES, Described, Logistic, Ones, Ranges, buckets, classify, fit, loss_gradient, metadata, narrowed, present
 
 SF = "/root/testdata/sf0.1"
 
@@ -42,14 +42,86 @@ def test_logistic_reaches_the_optimum():
     assert np.abs(g).max() < 1e-4
 
 
-def test_held_out_accuracy(spark):
-    """Of the labels two thirds are shown; the rest is judged."""
+def test_columns_of_ones_are_a_matrix():
+    rng = np.random.default_rng(2)
+    dense = (rng.random((40, 7)) < 0.3).astype(float)
+    owner, column = np.nonzero(dense)
+    ones, w, g = Ones(owner, column, 40, 7), rng.normal(size=7), rng.normal(size=40)
+    assert np.allclose(ones @ w, dense @ w) and np.allclose(ones.back(g), dense.T @ g)
+    y, weight = (rng.random(40) < 0.5).astype(float), rng.random(40)
+    one, two = Logistic(ones, y, weight, 1e-2), Logistic(dense, y, weight, 1e-2)
+    assert np.allclose(one.w, two.w) and abs(one.w0 - two.w0) < 1e-9
+    # with what others add: two steps from their gradient come near the fit of both together
+    more = (rng.random((400, 7)) < 0.3).astype(float)
+    label = (rng.random(400) < 1 / (1 + np.exp(-(more @ w)))).astype(float)
+    x, z = np.vstack([more[:200], more[200:]]), label
+    whole = Logistic(x, z, np.ones(400), 1e-2, rounds=2000)
+    half = [Ones(*np.nonzero(part), 200, 7) for part in (more[:200], more[200:])]
+    model = Logistic(half[0], label[:200], np.ones(200), 1e-2, rounds=2000)
+    first = np.abs(model.w - whole.w).max()
+    for _ in range(2):
+        linear = loss_gradient(half[1], model, label[200:], np.ones(200)) - loss_gradient(half[0], model, label[:200], np.ones(200))
+        model = Logistic(half[0], label[:200], np.ones(200), 1e-2, rounds=2000, linear=linear, scale=2.0, total=400.0, start=model)
+    assert np.abs(model.w - whole.w).max() < 0.1 * first
+
+
+def test_places_of_the_page_view():
+    for args in ((None, None, None, ""), ("s", "en", 10**12, "a\nb"), ("", "", -5, "x" * 10_000), ("é" * 99, "zz", 0, "\n" * 3000)):
+        found = metadata(*args)
+        assert len(set(found)) == 5 and all(0 <= x < PAGE for x in found)
+    ranges = Ranges(np.random.default_rng(0).random((50, 8)))
+    for x in (-1e9, 0.0, 0.5, 1.0, 1e9):
+        found = ranges.places(np.full((3, 8), x))
+        assert found.shape == (3, 8) and found.min() >= 0 and found.max() < PAGE and len(set(found[0].tolist())) == 8
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    """Of the labels two thirds are shown; the rest is judged. With three rounds of exchange, and with none."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     shown = labels.where("doc_id % 3 <> 0")
-    got = classify(docs, shown).join(labels.where("doc_id % 3 = 0"), "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
-    kept = {(r.quality, r.toxic): r.kept for r in got}
-    print(kept)
-    assert kept[1, 0] > 0.98 and kept[0, 0] < 0.1 and kept[1, 1] < 0.2
+    truth = {r.doc_id: (r.quality, r.toxic) for r in labels.where("doc_id % 3 = 0").collect()}
+    out = []
+    for rounds in (3, 0):
+        model, whole = fit(narrowed(docs), shown, 8192, rounds, 0.97, 0.003)
+        out.append((model, [Described(r.raw, model.features) for r in whole.collect()]))
+    return docs, shown, truth, out
+
+
+def kept_by(model, parts):
+    return {int(d): bool(k) for x in parts for d, k in zip(x.doc, model.score(x)[3])}
+
+
+def test_held_out_accuracy(trained):
+    _, _, truth, ((model, parts), _) = trained
+    kept = kept_by(model, parts)
+    share = lambda kind: np.mean([kept[d] for d, t in truth.items() if t == kind])
+    print({k: round(float(share(k)), 4) for k in ((1, 0), (0, 0), (0, 1), (1, 1))}, model.exchanged)
+    assert share((1, 0)) > 0.98 and share((0, 0)) < 0.1 and share((0, 1)) < 0.1 and share((1, 1)) < 0.2
+
+
+def test_both_views_count(trained):
+    """Either one taken away changes the scores and what is kept; labels go both ways, and change both views."""
+    _, _, _, ((model, parts), (alone, _)) = trained
+    assert len(model.exchanged) == 3 and not alone.exchanged
+    assert all(r["bad to content"] > 0 and r["good to page"] > 0 and r["bad to page"] > 0 for r in model.exchanged)
+    assert sum(r["good to content"] for r in model.exchanged) > 0
+    assert all(not np.allclose(a.w, b.w) for a, b in zip(model.views, alone.views))
+    assert min(model.both.w) > 0.1 * max(model.both.w)
+    whole = kept_by(model, parts)
+    for view in (0, 1):
+        held = model.both.w
+        model.both.w = np.where(np.arange(2) == view, 0.0, held)
+        assert sum(whole[d] != k for d, k in kept_by(model, parts).items()) > 20
+        model.both.w = held
+
+
+def test_unlabelled_documents_beyond_any_number(trained):
+    """What is handed over grows with the documents: all that are not drawn are judged."""
+    _, _, _, ((model, parts), _) = trained
+    free = sum(int(x.free.sum()) for x in parts)
+    assert free == sum(len(x.doc) for x in parts) - len({int(d) for x in parts for d, f in zip(x.doc, x.free) if not f})
+    assert max(r["good to page"] + r["bad to page"] for r in model.exchanged) > 0.2 * free
 
 
 def test_nulls_ties_and_clashing_columns(spark):
