@@ -46,6 +46,8 @@ class Partition:
         return F.col(name)
 
     def size(self) -> Column:
+        if not self.keys:  # a number for all rows: no window over the whole table
+            return self.temp(self.df.agg(F.count(F.lit(1))).scalar())
         return F.count(F.lit(1)).over(self.whole())
 
 
@@ -53,8 +55,8 @@ Analytic = Callable[[Partition], Column]
 
 
 def from_agg(collector: Collector) -> Analytic:
-    """The aggregate of the partition, for each of its records."""
-    return lambda p: collector.over(p.record, p.whole())
+    """The aggregate of the partition, for each of its records. Without keys it is one scalar for all."""
+    return lambda p: collector.over(p.record, p.whole()) if p.keys else p.temp(p.df.agg(collector.aggregate(p.record)).scalar())
 
 
 def row_number(first: int = 1) -> Analytic:

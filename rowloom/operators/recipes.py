@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..field import Field, Header
 from ..ordering import SortKey
 from ..record import Record, as_column
+from ..storage import shared_folder
 from ..stream import RecordStream
 
 
@@ -78,9 +78,7 @@ def recursive(start: RecordStream, step: Callable[[RecordStream], RecordStream],
 
     Each level is written to the shared checkpoint folder, so that lineage does not grow. Cycles end with an error at ``max_depth``.
     """
-    spark = start.df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowloom-"))
+    shared_folder(start.df.sparkSession)
     level = start._with(start._plain().checkpoint(), [])
     levels = [level]
     for _ in range(max_depth):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from ..functions import scalars as sc
 from ..operators import recipes
 from ..ordering import asc, desc
 from ..sources import parquet
+from ..storage import shared_folder
 from ..stream import RecordStream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -634,6 +634,6 @@ def stream_static_join(t):
     ok, oc, price, status = fields(o, "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     ck, seg = fields(c, "c_custkey", "c_mktsegment")
     joined = o.filter(lambda r: r[status] == "O").join(c, lambda j: j.eq(j.left(oc), j.right(ck)), lambda s: s.left_fields(ok, price).right_field(seg))
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='rowloom-')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     streaming.write_parquet(joined, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows")

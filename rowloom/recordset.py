@@ -42,7 +42,9 @@ class RecordSet:
     def __eq__(self, other) -> bool:
         return isinstance(other, RecordSet) and self.header == other.header and self.rows() == other.rows()
 
-    __hash__ = None
+    def __hash__(self) -> int:
+        """Of header and rows, which are collected."""
+        return hash((tuple(f.column for f in self.header), tuple(map(repr, self.rows()))))
 
     def __str__(self) -> str:
         names = [f.name for f in self.header]

@@ -22,6 +22,9 @@ from .ordering import SortKey, desc, keys_of, lexicographic
 from .record import Record, as_column
 
 _names = itertools.count()
+TIE = "__tie"
+#: Values are folded so many at a time.
+CHUNK = 1024
 
 
 class Ordered:
@@ -29,6 +32,9 @@ class Ordered:
 
     df: DataFrame
     order: list[tuple[SortKey, str]]
+    _skipped: tuple[DataFrame, int] | None = None  # the rows before skip(n), and n
+    _parallel = True
+    _closers: tuple[Callable, ...] = ()
 
     def _with(self, df: DataFrame, order=None):
         raise NotImplementedError
@@ -83,11 +89,45 @@ class Ordered:
         return self._with(self._plain().distinct(), [])
 
     def limit(self, n: int):
+        """Ordered: a bounded heap in each task and one merge, also after a skip."""
+        if self._skipped:
+            df, skipped = self._skipped
+            return self._with(self._with_tie(df)[0].orderBy(*self._sort_columns(), TIE).offset(skipped).limit(n).drop(TIE))
         return self._with((self.df.orderBy(*self._sort_columns()) if self.order else self.df).limit(n))
 
+    def _with_tie(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """With a hash of all columns that orders rows whose keys tie, and the names of all that orders."""
+        own = [F.col(c) for c in self._own()]
+        return df.withColumn(TIE, F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("b"), *own).alias("b"))), [*self._hidden(), TIE]
+
     def skip(self, n: int):
+        """Without the first n. Of rows that tie, those that come first by a hash of all columns go.
+
+        The n-th row is found by a top-n of its keys, and rows are compared with it: the table is neither sorted as a whole nor
+        brought into one task. Rows that are equal to it in all columns are counted, and as many as are left are made again.
+        """
         self._batch("skipping")
-        return self._with(self.df.orderBy(*self._sort_columns()).offset(n))
+        keys = [k for k, _ in self.order]
+        by = self._sort_columns()
+        if n <= 0:
+            return self._with(self.df)
+        df, skipped = self._skipped or (self.df, 0)
+        n += skipped
+        tied, at = self._with_tie(df)
+        last = tied.select(*at).orderBy(*by, TIE).offset(n - 1).limit(1).select(F.struct(*at).alias("__last")).scalar()
+        marked = tied.withColumn("__last", last)
+        order = [*keys, SortKey(None)]
+        here, there = [F.col(c) for c in at], [F.col(f"__last.{c}") for c in at]
+        # before the n-th row, of its kind, after it
+        before, after = lexicographic(order, here, there), lexicographic(order, there, here)
+        found = marked.where(F.col("__last").isNotNull())
+        ahead = found.where(before).agg(F.count(F.lit(1))).scalar()
+        rest = found.where(after).drop(TIE, "__last")
+        alike = found.where(~before & ~after).groupBy(*df.columns).agg((F.count(F.lit(1)) - (n - ahead)).alias("__n")).where("__n > 0")
+        out = rest.unionByName(alike.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n", "__copy"))
+        made = self._with(out)
+        made._skipped = (df, n)
+        return made
 
     def _cut(self, predicate, taken: bool):
         """The first failing row is found by a top-1, and only its keys are compared: no global window. Ties with it come after it."""
@@ -111,20 +151,46 @@ class Ordered:
         """Observe metrics as rows pass; rows are unchanged. Without metrics: a row count."""
         return self._with(self.df.observe(name, *(metrics or [F.count(F.lit(1)).alias("rows")])))
 
+    def _heir(self, made, *others):
+        """What goes on with a stream made from this one: handlers and the kind of execution."""
+        made._parallel = self._parallel
+        made._closers = tuple(dict.fromkeys(c for s in (self, *others) for c in s._closers))
+        return made
+
     def parallel(self, partitions: int | None = None):
-        return self._with(self.df.repartition(partitions)) if partitions else self
+        made = self._with(self.df.repartition(partitions) if partitions else self.df)
+        made._parallel, made._skipped = True, None if partitions else self._skipped
+        return made
 
     def sequential(self):
-        return self._with(self.df.coalesce(1))
+        """In one task."""
+        made = self._with(self.df.coalesce(1))
+        made._parallel = False
+        return made
 
     def is_parallel(self) -> bool:
-        return True
+        return self._parallel
 
-    def on_close(self, *_):
-        return self
+    def on_close(self, handler: Callable[[], None]):
+        """``handler`` runs when this stream, or one made from it, is closed; handlers run in the order they were given."""
+        made = self._with(self.df)
+        made._closers, made._skipped = (*self._closers, handler), self._skipped
+        return made
 
     def close(self) -> None:
+        """Run the handlers, each once; all of them run, then the first error is raised with the others noted on it."""
+        handlers, self._closers = self._closers, ()
+        errors = []
+        for handler in handlers:
+            try:
+                handler()
+            except Exception as e:  # noqa: BLE001
+                errors.append(e)
         self.df.unpersist()
+        if errors:
+            for e in errors[1:]:
+                errors[0].add_note(f"another handler failed: {e!r}")
+            raise errors[0]
 
     def _rows(self) -> DataFrame:
         return (self.df.orderBy(*self._sort_columns()) if self.order else self.df).select(*self._own())
@@ -166,14 +232,35 @@ class Ordered:
         for row in self.iterator():
             fn(row)
 
-    def reduce(self, zero, step: Callable[[Column, Column], Column], value=None):
-        """A fold whose step is associative: folded inside each partition and over the partitions' results."""
+    def reduce(self, *how, value=None):
+        """``reduce(step)`` (None for no values), ``reduce(zero, step)``, or ``reduce(zero, accumulate, combine)``.
+
+        Functions of two Columns; steps and combinations must be associative. Values are folded CHUNK at a time, in the encounter
+        order if there is one, and so are the results, twice; the last fold is of a millionth of the rows.
+        """
+        zero, step, combine = (None, how[0], how[0]) if len(how) == 1 else (as_column(how[0]), how[1], how[-1])
         column = self._value(value)
-        kind = self.df.select(column.alias("v")).schema[0].dataType
-        start = as_column(zero).cast(kind)
-        parts = self.df.select(column.alias("v"), F.spark_partition_id().alias("p")).groupBy("p").agg(F.collect_list("v").alias("vs"))
-        folded = parts.select(F.aggregate("vs", start, lambda a, b: step(a, b).cast(kind)).alias("v")).agg(F.collect_list("v").alias("vs"))
-        return folded.select(F.aggregate("vs", start, lambda a, b: step(a, b).cast(kind))).first()[0]
+        rows = (self.df.orderBy(*self._sort_columns()) if self.order else self.df).select(column.alias("v"), F.monotonically_increasing_id().alias("i"))
+        kind = rows.schema["v"].dataType if len(how) < 3 else rows.select(zero.alias("z")).schema["z"].dataType
+
+        def fold(values: Column, fn) -> Column:
+            if zero is not None:
+                return F.aggregate(values, zero.cast(kind), lambda a, b: fn(a, b).cast(kind))
+            return F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.get(values, F.lit(0)).cast(kind), lambda a, b: fn(a, b).cast(kind))
+
+        gathered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])  # CHUNK at most
+        for fn in (step, combine):
+            rows = rows.groupBy(F.expr(f"i div {CHUNK}").alias("k")).agg(gathered.alias("vs")).select(F.col("k").alias("i"), fold(F.col("vs"), fn).alias("v"))
+        return rows.agg(gathered.alias("vs")).select(fold(F.col("vs"), combine)).first()[0]
+
+    def collect(self, *how, value=None):
+        """``collect(collector)``: its result over all rows. ``collect(zero, accumulate, combine)``: a mutable reduction, as Columns."""
+        if len(how) > 1:
+            return self.reduce(*how, value=value)
+        return self.df.agg(how[0].aggregate(self._seen()).alias("v")).first()[0]
+
+    def spliterator(self) -> Spliterator:
+        return Spliterator(self)
 
     def _value(self, value) -> Column:
         seen = self._seen()
@@ -181,9 +268,39 @@ class Ordered:
             return seen if isinstance(seen, Column) else seen.as_struct()
         return seen[value] if isinstance(value, Field) else as_column(value(seen))
 
-    def collect(self, collector: Collector):
-        """The result of one collector over all rows."""
-        return self.df.agg(collector.aggregate(self._seen()).alias("v")).first()[0]
+
+class Spliterator:
+    """Traverses a stream, and can hand on a part of what is left before it begins. An ordered stream is not split."""
+
+    def __init__(self, stream: Ordered, depth: int = 0):
+        self._stream, self._depth, self._rows = stream, depth, None
+
+    def try_split(self) -> Spliterator | None:
+        """About half of the rows, by a hash; None once traversal has begun, or if the stream has an order."""
+        if self._rows is not None or self._stream.order or self._depth >= 32:
+            return None
+        bit = F.shiftright("__h", self._depth).bitwiseAND(F.lit(1).cast("long"))
+        df = self._stream.df.withColumn("__h", F.xxhash64(*self._stream._own()))
+        other = self._stream._with(df.where(bit == 1).drop("__h"))
+        self._stream = self._stream._with(df.where(bit == 0).drop("__h"))
+        self._depth += 1
+        return Spliterator(other, self._depth)
+
+    def try_advance(self, fn: Callable) -> bool:
+        if self._rows is None:
+            self._rows = iter(self._stream.iterator())
+        for row in self._rows:
+            fn(row)
+            return True
+        return False
+
+    def for_each_remaining(self, fn: Callable) -> None:
+        while self.try_advance(fn):
+            pass
+
+    def estimate_size(self) -> int:
+        """Of a part that has not been begun."""
+        return self._stream.count()
 
 
 class RecordStream(Ordered):
@@ -216,10 +333,10 @@ class RecordStream(Ordered):
         df = streams[0]._plain()
         for s in streams[1:]:
             df = df.union(s._plain())
-        return RecordStream(df, streams[0].header)
+        return streams[0]._heir(RecordStream(df, streams[0].header), *streams[1:])
 
     def _with(self, df: DataFrame, order=None) -> RecordStream:
-        return RecordStream(df, self.header, self.order if order is None else order)
+        return self._heir(RecordStream(df, self.header, self.order if order is None else order))
 
     def _own(self) -> list[str]:
         return [f.column for f in self.header]
@@ -241,17 +358,17 @@ class RecordStream(Ordered):
         if windows:
             self._batch("a window function")
         df, header = select.apply(self.df, [] if windows else self._hidden())
-        return RecordStream(df, header, [] if windows else self.order)
+        return self._heir(RecordStream(df, header, [] if windows else self.order))
 
     def aggregate(self, configure: Callable[[Aggregate], None]) -> RecordStream:
         aggregate = Aggregate(self._seen())
         configure(aggregate)
-        return RecordStream(*aggregate.apply(self._plain()))
+        return self._heir(RecordStream(*aggregate.apply(self._plain())))
 
     def _join(self, kind: str, right: RecordStream, on, select) -> RecordStream:
         if kind in ("right", "full"):
             self._batch(f"a {kind} join")
-        return RecordStream(*outer_join(kind, self._plain(), self.header, right._plain(), right.header, on, select))
+        return self._heir(RecordStream(*outer_join(kind, self._plain(), self.header, right._plain(), right.header, on, select)), right)
 
     def join(self, right: RecordStream, on, select) -> RecordStream:
         return self._join("inner", right, on, select)
@@ -266,7 +383,7 @@ class RecordStream(Ordered):
         return self._join("full", right, on, select)
 
     def _semi(self, kind: str, right: RecordStream, on) -> RecordStream:
-        return self._with(semi_join(kind, self.df, self.header, right._plain(), right.header, on))
+        return self._heir(self._with(semi_join(kind, self.df, self.header, right._plain(), right.header, on)), right)
 
     def left_any_match(self, right: RecordStream, on) -> RecordStream:
         return self._semi("any", right, on)
@@ -282,7 +399,7 @@ class RecordStream(Ordered):
         return self._semi("not_all", right, on)
 
     def _aux(self, column: Column) -> Aux:
-        return Aux(self.df.select(column.alias("value"), *self._hidden()), self.order)
+        return self._heir(Aux(self.df.select(column.alias("value"), *self._hidden()), self.order))
 
     def map(self, fn) -> Aux:
         return self._aux(as_column(fn(self._seen())))
@@ -299,7 +416,7 @@ class RecordStream(Ordered):
     def flat_map(self, fn, kind: str | None = None) -> Aux:
         """``fn`` gives an array for each record; its elements follow one another."""
         column = F.explode(as_column(fn(self._seen())))
-        out = Aux(self.df.select(column.alias("value"), *self._hidden()), self.order)
+        out = self._heir(Aux(self.df.select(column.alias("value"), *self._hidden()), self.order))
         return out.cast(kind) if kind else out
 
     def flat_map_to_int(self, fn) -> Aux:
@@ -346,7 +463,7 @@ class Aux(Ordered):
         return Aux(spark.range(start, end).select(F.col("id").cast(dtype).alias("value"))).with_order()
 
     def _with(self, df: DataFrame, order=None) -> Aux:
-        return Aux(df, self.order if order is None else order)
+        return self._heir(Aux(df, self.order if order is None else order))
 
     def _own(self) -> list[str]:
         return ["value"]
@@ -358,10 +475,10 @@ class Aux(Ordered):
         into = Into(self._seen())
         configure(into)
         df, header = into.apply(self.df, self._hidden())
-        return RecordStream(df, header, self.order)
+        return self._heir(RecordStream(df, header, self.order))
 
     def map(self, fn) -> Aux:
-        return Aux(self.df.select(as_column(fn(self._seen())).alias("value"), *self._hidden()), self.order)
+        return self._with(self.df.select(as_column(fn(self._seen())).alias("value"), *self._hidden()))
 
     def cast(self, dtype: str) -> Aux:
         return self.map(lambda v: v.cast(dtype))
@@ -386,8 +503,18 @@ class Aux(Ordered):
     def as_double_stream(self) -> Aux:
         return self.cast("double")
 
-    def flat_map(self, fn) -> Aux:
-        return Aux(self.df.select(F.explode(as_column(fn(self._seen()))).alias("value"), *self._hidden()), self.order)
+    def flat_map(self, fn, kind: str | None = None) -> Aux:
+        out = self._with(self.df.select(F.explode(as_column(fn(self._seen()))).alias("value"), *self._hidden()))
+        return out.cast(kind) if kind else out
+
+    def flat_map_to_int(self, fn) -> Aux:
+        return self.flat_map(fn, "int")
+
+    def flat_map_to_long(self, fn) -> Aux:
+        return self.flat_map(fn, "long")
+
+    def flat_map_to_double(self, fn) -> Aux:
+        return self.flat_map(fn, "double")
 
     def to_array(self) -> list:
         return [r[0] for r in self._rows().collect()]
