@@ -6,6 +6,8 @@ import itertools
 import re
 from collections.abc import Iterator
 
+from pyspark.sql import Column
+
 _ids = itertools.count()
 
 
@@ -65,9 +67,9 @@ class Header:
         return FieldPin(field, self._places[field])
 
     def select_all_fields(self, into) -> None:
-        """Re-project every field, for use inside ``map_to_record``."""
+        """Re-project every field, for use inside ``map_to_record``: of a record, or of a struct by display names."""
         for f in self.fields:
-            into.field(f, lambda record, f=f: record[f])
+            into.field(f, lambda value, f=f: value.getField(f.name) if isinstance(value, Column) else value[f])
 
     def __iter__(self) -> Iterator[Field]:
         return iter(self.fields)

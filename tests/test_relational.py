@@ -358,3 +358,55 @@ def test_indexed_joins_against_brute_force(spark, name):
         assert sorted(r[0] for r in getattr(one, kind)(two, on).to_array()) == sorted(want), kind
     none = two.filter(lambda r: r[m] < 0)
     assert one.join(none, on, out).to_array() == [] and len(one.left_join(none, on, out).to_array()) == 11 and len(none.right_join(one, lambda j: j.gt(j.left(a), j.right(x)), lambda s: s.right_field(n)).to_array()) == 11
+
+
+def test_skip_against_brute_force(spark):
+    """Ties, nulls, equal rows, more than there is; plans never bring the table into one task."""
+    values = [(v, i % 3) for i, v in enumerate(NULLABLE * 3)] + [(5, 1)] * 20
+    s = rows(spark, [A, B], values)
+    order = sorted((v for v, _ in values), key=_low, reverse=True)
+    for n in (0, 1, 5, 17, 30, len(values), 99):
+        left = s.sorted(desc(A)).skip(n)
+        assert [r[0] for r in left.to_array()] == order[n:]
+        assert [r[0] for r in left.limit(4).to_array()] == order[n : n + 4]
+        assert [r[0] for r in left.skip(2).to_array()] == order[n + 2 :]
+        assert left.filter(lambda r: r[A].isNull()).count() == sum(v is None for v in order[n:])
+    plan = s.sorted(A).skip(5).limit(3).df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "SinglePartition" not in plan
+    with pytest.raises(ValueError):
+        s.skip(1)
+
+
+def test_reductions(spark):
+    numbers = int_range(spark, 0, 5000)
+    assert numbers.reduce(lambda a, b: a + b) == 12497500 and numbers.reduce(0, lambda a, b: a + b) == 12497500
+    assert numbers.filter(lambda v: v < 0).reduce(lambda a, b: a + b) is None and numbers.filter(lambda v: v < 0).reduce(7, lambda a, b: a + b) == 7
+    text = numbers.reduce(F.lit(""), lambda a, v: F.concat(a, v.cast("string")), lambda a, b: F.concat(a, b))
+    assert text == "".join(map(str, range(5000)))  # in the encounter order
+    assert numbers.collect(F.lit(0).cast("long"), lambda a, v: a + v % 2, lambda a, b: a + b) == 2500
+
+
+def test_handlers_flags_and_spliterators(spark):
+    said = []
+    s = ints(spark, 0, 100).on_close(lambda: said.append(1))
+
+    def fails():
+        said.append(2)
+        raise RuntimeError("no")
+
+    t = s.unordered().on_close(fails).on_close(lambda: said.append(3)).filter(lambda r: r[A] > 3)
+    joined = t.join(ints(spark, 0, 9), lambda j: j.eq(j.left(A), j.right(A)), lambda o: o.left_field(A))
+    with pytest.raises(RuntimeError):
+        joined.close()
+    assert said == [1, 2, 3] and joined.close() is None
+    assert t.is_parallel() and not t.sequential().map(lambda r: r[A]).is_parallel() and t.sequential().parallel().is_parallel()
+    whole = s.unordered().spliterator()
+    parts = [whole, whole.try_split(), whole.try_split()]
+    seen = []
+    assert sum(p.estimate_size() for p in parts) == 100
+    for p in parts:
+        p.for_each_remaining(lambda r: seen.append(r[0]))
+    assert sorted(seen) == list(range(100)) and whole.try_split() is None and s.spliterator().try_split() is None
+    assert int_range(spark, 0, 3).flat_map_to_double(lambda v: F.array(v, v + 1)).to_array() == [0.0, 1.0, 1.0, 2.0, 2.0, 3.0]
+    a, b = ints(spark, 0, 5).to_record_set(), ints(spark, 0, 5).to_record_set()
+    assert a == b and hash(a) == hash(b) and len({a, b}) == 1
