@@ -13,7 +13,7 @@ How it is spread out: texts are cut into slabs, tokenised once, and kept as word
 to R homes by a hash. A slab sends each home the distinct pairs whose first word lives there, packed and with counts; the home
 merges them, and sends what it knows of each second word to that word's home, where all of a dish is together and the sweeps run.
 The tables go back to the first words' homes, which answer every slab in the order it asked in, so that answers need no keys.
-Pairs after a very frequent word (at most 1 / HOT_SHARE of them exist) are dealt by both words. Within a home the tables that
+Pairs after a very frequent word (HOT_SHARES bounds how many there are) are dealt by both words. Within a home the tables that
 other homes hold are known as of the least seating, carried on by the share of further customers that opened tables here.
 Words travel as 64-bit hashes.
 """
@@ -42,7 +42,8 @@ ROUNDS = 8
 END = b"\n"  # no word can have it
 SLAB = 6_000_000
 HOME_BYTES = 8_000_000
-HOT_SHARE = 0.001
+#: A word is frequent if more than a home's share of all tokens is its own; between 1,000 and 100,000 words can be.
+HOT_SHARES = (0.001, 0.00001)
 #: Homes are asked in so many turns, so that only a share of the pairs is on its way at a time.
 TURNS = 2
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)"
@@ -75,9 +76,9 @@ def tokens(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(known), np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64)
 
 
-def make_slabs(docs: DataFrame, homes: int) -> DataFrame:
+def make_slabs(docs: DataFrame, homes: int, share: float) -> DataFrame:
     """A row for each slab of text. Words are numbered by home and hash; ``docs``: doc_id, its nulls, held out, sizes; the number of
-    the end; words of each home. ``hot_w``: words of at least HOT_SHARE of the slab's training tokens."""
+    the end; words of each home. ``hot_w``: words of at least this share of the slab's training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in enumerate(slabs(batches, limit=SLAB)):
@@ -90,7 +91,7 @@ def make_slabs(docs: DataFrame, homes: int) -> DataFrame:
             ids, held = rank[at], t.column("held_out").to_numpy()
             ours = np.bincount(ids[~held[grouped(sizes)]], minlength=len(words))
             trained, hashes = int(ours.sum()), hashes[order]
-            hot = np.flatnonzero(ours >= max(1.0, HOT_SHARE * trained))
+            hot = np.flatnonzero(ours >= max(1.0, share * trained))
             ids_of, none = t.column("doc_id"), t.column("doc_id").is_null().to_numpy()
             about = pack(ids_of.fill_null(0).to_numpy(), none, held, sizes, np.array([rank[0]]), np.bincount(lives, minlength=homes))
             row = {"slab": TaskContext.get().partitionId() << 32 | i, "trained": trained, "docs": about, "ids": pack(ids), "vocabulary": pack(hashes), "hot_w": hashes[hot].view(np.int64).tolist(), "hot_n": ours[hot].tolist()}
@@ -99,12 +100,12 @@ def make_slabs(docs: DataFrame, homes: int) -> DataFrame:
     return stored(docs.mapInArrow(run, SLAB_KINDS))
 
 
-def hot_words(cut: DataFrame) -> np.ndarray:
-    """Hashes of words of at least HOT_SHARE of all training tokens, by what slabs report: at most 1 / HOT_SHARE of them, and all
-    of twice that share."""
+def hot_words(cut: DataFrame, share: float) -> np.ndarray:
+    """Hashes of words of at least this share of all training tokens, by what slabs report: at most 1 / share of them, and all of
+    twice that share."""
     each = cut.select(F.explode(F.arrays_zip("hot_w", "hot_n")).alias("x")).groupBy("x.hot_w").agg(F.sum("x.hot_n").alias("n"))
     total = cut.agg(F.sum("trained")).first()[0] or 0
-    return np.array(sorted(r.hot_w for r in each.where(F.col("n") >= max(1.0, HOT_SHARE * total)).select("hot_w").collect()), dtype=np.int64).view(np.uint64)
+    return np.array(sorted(r.hot_w for r in each.where(F.col("n") >= max(1.0, share * total)).select("hot_w").collect()), dtype=np.int64).view(np.uint64)
 
 
 class Pairs:
@@ -428,13 +429,14 @@ class Parent:
 def fit(data: DataFrame, homes: int) -> tuple[DataFrame, DataFrame, np.ndarray, Parent]:
     """The slabs, the homes' answers to them (slab, home, blob), the frequent words, and the parent."""
     spark = data.sparkSession
-    cut = make_slabs(data, homes)
-    hot = hot_words(cut)
+    share = min(HOT_SHARES[0], max(HOT_SHARES[1], 1 / homes))
+    cut = make_slabs(data, homes, share)
+    hot = hot_words(cut, share)
     sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(7)]
 
     turns = []
     for turn in range(min(TURNS, homes)):
-        turns.append(stored(ask(cut, hot, turn).groupBy("to").applyInArrow(lambda t: merge(t, homes, hot), ROW_KINDS)))
+        turns.append(stored(ask(cut, hot, turn).repartition(homes, "to").groupBy("to").applyInArrow(lambda t: merge(t, homes, hot), ROW_KINDS)))
         release(spark)
     merged = reduce(DataFrame.unionByName, turns)
     of_hot = np.zeros((len(hot), 2))
@@ -442,7 +444,7 @@ def fit(data: DataFrame, homes: int) -> tuple[DataFrame, DataFrame, np.ndarray,
         of_hot[r.to] = r.s0, r.s1
     known = Known([x or 0.0 for x in merged.where(F.col("kind") == SUMS).agg(*sums).first()], of_hot)
 
-    seated = stored(merged.where(F.col("kind") == DISHES).select("to", "slab", "blob").groupBy("to").applyInArrow(lambda t: seat(t, known), ROW_KINDS))
+    seated = stored(merged.where(F.col("kind") == DISHES).select("to", "slab", "blob").repartition(homes, "to").groupBy("to").applyInArrow(lambda t: seat(t, known), ROW_KINDS))
     release(spark)
     tables = np.repeat(of_hot[:, :1], SAMPLES, axis=1)
     for r in seated.where(F.col("kind") == HOT).groupBy("to").agg(*sums[:SAMPLES]).collect():
@@ -455,7 +457,7 @@ def fit(data: DataFrame, homes: int) -> tuple[DataFrame, DataFrame, np.ndarray,
         found = answer(left, right, known, hot, tables) if left.num_rows else []
         return pa.table({c: [r[i] for r in found] for i, c in enumerate(schema.names)}, schema=schema)
 
-    here = lambda df, *kinds: df.where(F.col("kind").isin(*kinds)).select("kind", "to", "slab", "blob").groupBy("to")
+    here = lambda df, *kinds: df.where(F.col("kind").isin(*kinds)).select("kind", "to", "slab", "blob").repartition(homes, "to").groupBy("to")
     answered = stored(here(merged, OWN, ASKS).cogroup(here(seated, TABLES, WORDS)).applyInArrow(answers, "slab long, home int, blob binary"))
     release(spark)
     discard(*turns, seated)
@@ -509,6 +511,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return pa.table(score_slab(row["docs"], row["ids"], np.array(row["hot"], dtype=np.int64), replies, parent), schema=SCORED)
 
     light = cut.select("slab", "docs", "ids", "vocabulary").mapInArrow(lighter, "slab long, docs binary, ids binary, hot array<long>")
-    result = stored(light.groupBy("slab").cogroup(answered.groupBy("slab")).applyInArrow(score, SCORED_KINDS))
+    dealt = lambda df: df.repartition(max(1, cut.count()), "slab").groupBy("slab")
+    result = stored(dealt(light).cogroup(dealt(answered)).applyInArrow(score, SCORED_KINDS))
     discard(cut, answered)
     return result
