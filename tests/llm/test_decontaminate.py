@@ -52,6 +52,22 @@ def test_against_brute_force(spark, one_word, limit):
     assert got == brute(docs, items)
 
 
+@pytest.mark.parametrize("limit", [300_000, 20])
+def test_windows_that_many_items_share(spark, limit):
+    """What is broadcast is counted with its items; separators of every kind; columns that clash."""
+    passage = " ".join(f"word{i}" for i in range(12))
+    items = [(i, f"own{i} {passage} end{i}") for i in range(40)]
+    rng = random.Random(2)
+    marks = [chr(c) for c in [*range(1, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]]
+    docs = [(i, "".join(w + rng.choice(marks) for w in (passage.upper() if i % 2 else f"x {passage[:40]} y").split())) for i in range(60)] + [(60, None), (3, None)]
+    d = spark.createDataFrame([(*r, "x", 1, 2) for r in docs], "doc_id long, text string, words string, row_key int, doc int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in contamination(d, b, broadcast_windows=limit).collect()), key=str)
+    assert got == brute(docs, items) and max(r[3] for r in got) == 40
+    kept = drop_leaked(d, b)
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in range(0, 60, 2)] + ["60", "3"])
+
+
 def test_leaked_documents_go(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     docs = spark.createDataFrame([(1, "a b c"), (2, f"x {passage} y"), (3, None), (4, "short item")], "doc_id long, text string")
