@@ -326,14 +326,12 @@ def all_verdicts(parts: DataFrame, size: int, dense: int) -> DataFrame:
     return found
 
 
-def removed(text: bytes, found: dict[tuple[int, int], tuple[int | None, bytes | None]], size: int) -> np.ndarray:
-    """Which bytes go. ``found``: for a stretch (by minimizer and hash), where its first occurrence starts if that is in this
-    document, and its bits."""
-    minimizers = np.array([m for m, _ in found])
+def removed(text: bytes, own: tuple[np.ndarray, np.ndarray, np.ndarray], found: dict[tuple[int, int], tuple[int | None, bytes | None]], size: int) -> np.ndarray:
+    """Which bytes go. ``own``: first and last string, and minimizer, of the text's stretches. ``found``: for a stretch (by
+    minimizer and hash), where its first occurrence starts if that is in this document, and its bits."""
     edge = np.zeros(len(text) + 1, dtype=np.int64)
-    _, _, a, b, minimizer, _ = stretches(np.frombuffer(text, dtype=np.uint8), np.array([len(text)]), size)
-    wanted = np.flatnonzero(np.isin(minimizer, minimizers))
-    for x, y, m in zip(a[wanted].tolist(), b[wanted].tolist(), minimizer[wanted].tolist()):
+    wanted = np.flatnonzero(np.isin(own[2], np.array([m for m, _ in found])))
+    for x, y, m in zip(*(z[wanted].tolist() for z in own)):
         v = found.get((m, stretch_hash(text[x : y + size])))
         if v is None:
             continue
@@ -379,19 +377,22 @@ def dedup_bytes(docs: DataFrame, length: int = 100, texts: bool = False, dense:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slabs(batches, limit=SLAB):
             rows = []
-            for doc, text, hits in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("found").to_pylist()):
-                raw_text, spans = text.encode(), 0
-                gone = 0
-                kept = raw_text
-                if hits:
-                    mask = removed(raw_text, {(x["m"], x["h"]): (x["start"], x["bits"]) for x in hits}, length)
+            data, lengths = raw(t.column("text"))
+            text, base, a, b, minimizer, _ = stretches(np.frombuffer(data, dtype=np.uint8), lengths, length)
+            cuts = np.searchsorted(text, np.arange(len(lengths) + 1)).tolist()
+            hits = (t.column(c).to_pylist() for c in ("m", "h", "start", "bits"))
+            for i, (doc, o, n, m, *of) in enumerate(zip(t.column("doc_id").to_pylist(), base.tolist(), lengths.tolist(), *hits)):
+                kept, gone, spans = data[o : o + n], 0, 0
+                if m:
+                    own = slice(cuts[i], cuts[i + 1])
+                    mask = removed(kept, (a[own] - o, b[own] - o, minimizer[own]), dict(zip(zip(m, of[0]), zip(of[1], of[2]))), length)
                     gone = int(mask.sum())
                     if gone:
                         spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
-                        kept = np.frombuffer(raw_text, dtype=np.uint8)[~mask].tobytes()
-                rows.append((doc, len(raw_text), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
+                        kept = np.frombuffer(kept, dtype=np.uint8)[~mask].tobytes()
+                rows.append((doc, n, gone, spans, hashlib.sha256(kept).hexdigest(), kept))
             schema = OUT.append(pa.field("kept", pa.binary())) if texts else OUT
             yield from emit({c: [r[i] for r in rows] for i, c in enumerate(schema.names)}, schema)
 
-    joined = data.join(results.hint("merge"), KEY, "left").select("doc_id", "text", "found")
+    joined = data.join(results.hint("merge"), KEY, "left").select("doc_id", "text", "found.m", "found.h", "found.start", "found.bits")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
