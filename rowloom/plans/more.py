@@ -80,13 +80,13 @@ def select_fields_parent(t):
     return s.select(lambda o: o.field(key).fields(lambda r: r[label].cast("long") * 2, lambda f: f.field(twice, lambda v: v).parent.field(after, lambda r: r[label] + 1)).post_field(odd, lambda r: r[twice] + 1))
 
 
-@query("SELECT CAST(v AS DOUBLE) AS v, count(*) AS n FROM (SELECT round(unnest(embedding), 1) AS v FROM embeddings) GROUP BY 1")
+@query("SELECT CAST(CAST(floor(v * 10) AS BIGINT) AS DOUBLE) AS v, count(*) AS n FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1")
 def flat_map_to_double(t):
     s = t("embeddings")
     (vector,) = fields(s, "embedding")
     v, n = Field("v", "double"), Field("n")
-    values = s.flat_map_to_double(lambda r: F.transform(r[vector], lambda x: F.round(x, 1))).map(lambda x: F.round(x, 1))
-    return values.map_to_record(lambda i: i.field(v, lambda x: x)).aggregate(lambda a: a.key_field(v).agg_field(n, co.counting()))
+    tenths = s.flat_map_to_double(lambda r: F.transform(r[vector], lambda x: F.floor(x.cast("double") * 10)))
+    return tenths.map_to_record(lambda i: i.field(v, lambda x: x)).aggregate(lambda a: a.key_field(v).agg_field(n, co.counting()))
 
 
 @query("SELECT CAST(o_orderkey % 4 + k AS BIGINT) AS v, count(*) AS n FROM orders, range(0, 3) t(k) GROUP BY 1")
