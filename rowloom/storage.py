@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rowloom-"))  # one machine alone
     return sc._jsc.sc().getCheckpointDir().get()
