@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 BUCKETS = 16_384
 #: Labelled urls that the training sees.
 MAX_LABELLED = 512
+PARALLEL = 32
 #: The value of the feature that all urls have; a small one allows long steps.
 BIAS = 0.2
 SIZES = (3, 4)
@@ -115,10 +116,13 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, max_labelled: int = MAX_L
     rows = rows.orderBy(F.xxhash64("url"), "url").limit(max_labelled)
     of_host, of_path = features(host_of(F.col("url")), path_of(F.col("url")), buckets)
     found = rows.select("url", "label", of_host.alias("h"), of_path.alias("p")).withColumns({"vh": unit(F.col("h")), "vp": unit(F.col("p"))})
-    one = found.agg(F.array_sort(F.collect_list(F.struct("url", "label", "h", "p", "vh", "vp"))).alias("rows"))  # at most max_labelled
+    whole = lambda df, *more: df.agg(F.array_sort(F.collect_list(F.struct("url", "label", "h", "p", "vh", "vp", *more))).alias("rows"))  # noqa: E731  at most max_labelled
     alike = lambda a, b, c: F.size(F.array_intersect(a[c], b[c])) * a[f"v{c}"] * b[f"v{c}"]
-    gram = F.transform("rows", lambda a: F.transform("rows", lambda b: alike(a, b, "h") + alike(a, b, "p") + BIAS * BIAS))
-    ready = one.select("rows", gram.alias("gram"), F.transform("rows", lambda r: (r["label"] > 0).cast("double")).alias("y"))
+    me = {c: F.col(c) for c in ("h", "p", "vh", "vp")}
+    # each row's inner products with all of them, in several tasks
+    own = found.repartition(PARALLEL, "url").withColumn("others", whole(found).scalar())
+    own = own.withColumn("k", F.transform("others", lambda b: alike(me, b, "h") + alike(me, b, "p") + BIAS * BIAS)).drop("others")
+    ready = whole(own, "k").select("rows", F.transform("rows", lambda r: r["k"]).alias("gram"), F.transform("rows", lambda r: (r["label"] > 0).cast("double")).alias("y"))
     # in function space: from a point y ahead of alpha, alpha <- (1 - rate * shrink) y + rate / n (label - p); y goes on in that direction
     step = f"""aggregate(sequence(1, {rounds}), named_struct('alpha', transform(y, x -> 0D), 'ahead', transform(y, x -> 0D)), (s, t) -> transform(
         array(zip_with(gram, zip_with(y, s.ahead, (a, b) -> named_struct('y', a, 'alpha', b)), (k, z) ->
