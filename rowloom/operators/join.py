@@ -1,10 +1,11 @@
 """Eight joins over one predicate algebra.
 
 Equalities become equi-joins. Comparisons and intervals become equi-joins as well, of ranges: the values of one side are cut into
-BUCKETS ranges by a small sample of them; each of its rows goes to the one range that holds it, and each row of the other side to
-all ranges that can hold a partner, at most BUCKETS. A pair meets once, and but for the ranges at the ends all pairs that meet are
-results. Alternatives become a union of such joins, of which each leaves out what earlier ones found. Only opaque conditions and
-inequalities compare all with all.
+ranges of about RANGE_ROWS rows by a sample of them; each of its rows goes to the one range that holds it, and each row of the other
+side to all ranges that can hold a partner. A pair meets once, and but for the ranges at the ends all pairs that meet are results: a
+row of the other side is compared with at most two ranges in vain, and has as many copies as RANGE_ROWS goes into its results. A
+frequent value is a range of its own. Whether an interval holds any point, or lies around one, is settled in the ranges of its ends.
+Alternatives become a union of such joins, of which each leaves out what earlier ones found. Only opaque conditions and inequalities compare all with all.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..field import Field, Header
@@ -77,42 +78,115 @@ def prefixed(df: DataFrame, header: Header, prefix: str, mark: str | None) -> Da
     return df.select(*columns, *([F.lit(True).alias(mark)] if mark else []))
 
 
-BUCKETS = 64
-BUCKET, CUTS = "__bucket", "__cuts"
+#: A range of values holds about so many rows, apart from those of a single value.
+RANGE_ROWS = 1024
+#: About so many ranges where copies do not come with results.
+FEW = 64
+BUCKET, OTHER, CUTS, SURE = "__bucket", "__bucket_of", "__cuts", "__sure"
+STEPS = [1 << i for i in range(30, -1, -1)]
 
 
-def cuts_of(df: DataFrame, value: Column) -> Column:
-    """A scalar: sorted values that cut those of ``df`` into at most BUCKETS ranges. They are drawn by hash, so that every use of
-    the column gives the same ones."""
-    some = df.select(value.alias("v")).where("v is not null").distinct().orderBy(F.xxhash64("v"), "v").limit(BUCKETS - 1)
-    return some.agg(F.array_sort(F.collect_list("v"))).scalar()
+def cuts_of(df: DataFrame, value: Column, most: int | None = None) -> Column:
+    """A scalar: sorted values of ``df`` that cut it into ranges, the least and the greatest among them; about ``most`` if given.
+
+    A value is drawn by its hash, with a chance that grows with its rows, so that every use of the column gives the same ones, and
+    frequent values are cuts.
+    """
+    counted = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    chance = F.lit(1.0) - F.pow(F.lit(1.0 - 1.0 / RANGE_ROWS), F.col("n"))
+    drawn = F.when(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < chance, F.col("v"))
+    found = counted.agg(F.array_sort(F.collect_set(drawn)).alias("some"), F.array_compact(F.array(F.min("v"), F.max("v"))).alias("ends"))
+    some = F.col("some") if most is None else F.filter("some", lambda c, i: i % F.ceil(F.size("some") / F.lit(most)) == 0)
+    return found.select(F.array_sort(F.array_union(some, "ends"))).scalar()
+
+
+def leading(items: Column, test: Callable[[Column], Column], finish: Callable[[Column], Column] | None = None) -> Column:
+    """How many elements of a sorted array pass a test that its first elements pass and no others: a binary search."""
+    steps = F.slice(F.array(*[F.lit(s) for s in STEPS]), -F.length(F.bin(F.size(items))), len(STEPS))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(test(F.get(items, n + step - 1)), n + step).otherwise(n), finish)
 
 
 def bucket(value: Column) -> Column:
-    """Null is lowest and has the range 0."""
-    return F.when(value.isNull(), 0).otherwise(1 + F.size(F.filter(F.col(CUTS), lambda c: c <= value)))
+    """The n-th cut has the range 2n - 1 to itself, the values up to the next cut have 2n, null has -1: those of one value are odd."""
+    cuts = F.col(CUTS)
+    return F.when(value.isNull(), -1).otherwise(leading(cuts, lambda c: c <= value, lambda n: 2 * n - F.coalesce(F.get(cuts, n - 1) == value, F.lit(False)).cast("int")))
 
 
-def in_buckets(df: DataFrame, first: Column, last: Column) -> DataFrame:
-    """A copy of each row for each range from first to last."""
-    low, high = f"{BUCKET}_low", f"{BUCKET}_high"
-    held = df.withColumns({low: first, high: last}).where(F.col(low) <= F.col(high))
-    return held.withColumn(BUCKET, F.explode(F.sequence(low, high))).drop(low, high, CUTS)
+def odd(at: Column) -> Column:
+    return (at % 2 != 0).cast("int")
 
 
-def met(one: DataFrame, other: DataFrame, pred: Pred, side: int, how: str) -> DataFrame:
-    """Join by ``pred.search``. ``one`` is of the given side, and in one range each; an interval's point must be of that side."""
+def dealt(df: DataFrame, name: str) -> DataFrame:
+    """Ranges over as many tasks as shuffles have: how much a join gives does not follow from the size of what it reads, so few files,
+    a broadcast or merged partitions must not leave it to few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), name)
+
+
+def ranged(df: DataFrame, cuts: Column, **made: Column) -> DataFrame:
+    """With columns that read CUTS, made once: a filter on them would be moved below a projection and repeat their searches."""
+    once = F.explode(F.array(F.struct(*[c.alias(name) for name, c in made.items()])))
+    return df.withColumn(CUTS, cuts).withColumn("__made", once).select(*df.columns, *[F.col(f"__made.{name}").alias(name) for name in made])
+
+
+def sides_of(one: DataFrame, other: DataFrame, pred: Pred, side: int, most: int | None = None) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with their ranges, and when a pair meets. ``one`` is of the given side, and in one range each; an interval's point
+    must be of that side."""
     if isinstance(pred.search, Interval):
-        x = pred.search
-        value, first, last = x.point, bucket(x.low), bucket(x.high)
+        value, low, high = pred.search.point, pred.search.low, pred.search.high
+        first, last = F.col("__low"), F.least("__high", "__top")
     else:
         op, a, b = pred.search
         value, partner, below = (a, b, op in ("gt", "gte")) if side == SIDE_LEFT else (b, a, op in ("lt", "lte"))
-        first, last = (bucket(partner), F.size(CUTS) + 1) if below else (F.lit(0), bucket(partner))
-    cuts = cuts_of(one, value)
-    mine = one.withColumn(CUTS, cuts).withColumn(BUCKET, bucket(value)).drop(CUTS)
-    theirs = in_buckets(other.withColumn(CUTS, cuts), first, last).withColumnRenamed(BUCKET, f"{BUCKET}_of")
-    return mine.join(theirs, (F.col(BUCKET) == F.col(f"{BUCKET}_of")) & pred.column, how).drop(BUCKET, f"{BUCKET}_of")
+        low = high = partner
+        skipped = odd(F.col("__low")) if op in ("gt", "lt") else F.lit(0)  # its own value
+        first, last = (F.col("__low") + skipped, F.col("__top")) if below else (F.lit(-1), F.least(F.col("__low") - skipped, F.col("__top")))
+    cuts = cuts_of(one, value, most)
+    ends = {"__low": bucket(low)} | ({} if high is low else {"__high": bucket(high)})
+    theirs = ranged(other, cuts, **ends, __top=2 * F.size(CUTS) - 1)  # nothing is greater than the last cut
+    theirs = theirs.where(first <= last).select(*other.columns, F.explode(F.sequence(first, last)).alias(OTHER))
+    return dealt(ranged(one, cuts, **{BUCKET: bucket(value)}), BUCKET), dealt(theirs, OTHER), (F.col(BUCKET) == F.col(OTHER)) & pred.column
+
+
+def met(one: DataFrame, other: DataFrame, pred: Pred, side: int, how: str) -> DataFrame:
+    """Join by ``pred.search``. Where only the rows of ``one`` are asked for, copies are not as many as results: fewer ranges."""
+    mine, theirs, on = sides_of(one, other, pred, side, None if how == "inner" else FEW)
+    return mine.join(theirs, on, how).drop(BUCKET, OTHER)
+
+
+def settled(kept: DataFrame, sure: Column, other: DataFrame, other_at: str, on: Column, how: str, columns: list[str]) -> DataFrame:
+    """Rows that are sure to have a partner, and those that have one in their range."""
+    kept = kept.withColumn(SURE, F.explode(F.array(F.coalesce(sure, F.lit(False))))).drop(CUTS)
+    rest = dealt(kept.where(~F.col(SURE)), BUCKET).join(dealt(other, other_at), (F.col(BUCKET) == F.col(other_at)) & on, how).select(*columns)
+    return rest.union(kept.where(SURE).select(*columns)) if how == "left_semi" else rest
+
+
+def holding(kept: DataFrame, other: DataFrame, x: Interval, how: str) -> DataFrame:
+    """Rows of ``kept``, which hold the intervals, by whether a point of ``other`` lies in theirs.
+
+    The first point from the lower end on decides. Cuts are points, so it lies in the lower end's range, or is the next cut.
+    """
+    cuts, point = cuts_of(other, x.point), F.col("__point")
+    at = ranged(kept, cuts, **{BUCKET: bucket(x.low)}).withColumn(CUTS, cuts)
+    cut = F.get(F.col(CUTS), F.floor(F.greatest(F.col(BUCKET), F.lit(0)) / 2).cast("int"))  # the lower end itself, or the next one
+    points = ranged(other.select(x.point.alias("__point")).distinct(), cuts, **{OTHER: bucket(point)})
+    return settled(at, (cut <= x.high) & (x.low.isNull() | (cut >= x.low)), points, OTHER, null_safe("gte", point, x.low) & null_safe("lte", point, x.high), how, kept.columns)
+
+
+def lying(kept: DataFrame, other: DataFrame, x: Interval, how: str) -> DataFrame:
+    """Rows of ``kept``, which hold the points, by whether theirs lies in an interval of ``other``.
+
+    Sure are those whose whole range lies in one; else only intervals that end in the range can hold them.
+    """
+    cuts, low, high, first, last = cuts_of(kept, x.point), F.col("__lower"), F.col("__upper"), F.col("__first"), F.col("__last")
+    held = ranged(other.select(x.low.alias("__lower"), x.high.alias("__upper")).distinct(), cuts, __first=bucket(low), __last=bucket(high)).where(first <= last)
+    reach = held.groupBy("__first").agg(F.max("__last").alias("__last"))  # at most one row for each range
+    reach = reach.select("__first", F.max("__last").over(Window.orderBy("__first")).alias("__last"))
+    reach = reach.agg(F.array_sort(F.collect_list(F.struct("__first", "__last")))).scalar()
+    at = ranged(kept, cuts, **{BUCKET: bucket(x.point)}).withColumn(CUTS, reach)
+    inside = 1 - odd(F.col(BUCKET))  # a single value may be an end
+    n = leading(F.col(CUTS), lambda r: r["__first"] <= F.col(BUCKET) - inside)
+    ends = held.withColumn(OTHER, F.explode(F.array_distinct(F.array(first, last))))
+    return settled(at, F.get(F.col(CUTS), n - 1)["__last"] >= F.col(BUCKET) + inside, ends, OTHER, null_safe("gte", x.point, low) & null_safe("lte", x.point, high), how, kept.columns)
 
 
 def pairs(left: DataFrame, right: DataFrame, pred: Pred) -> DataFrame:
@@ -139,10 +213,13 @@ def having(kept: DataFrame, other: DataFrame, pred: Pred, side: int, how: str) -
         return by_extreme(kept, other, pred.range, side, how == "left_semi")
     if pred.equi or kept.isStreaming or other.isStreaming:
         return kept.join(other, pred.column, how)
+    if pred.plain:
+        return (lying if pred.search.point_side == side else holding)(kept, other, pred.search, how)
     if isinstance(pred.search, Interval) and pred.search.point_side != side:
         # intervals that hold a point, as values: rows that agree in all columns share their fate
         at = [f"__value_{i}" for i in range(len(kept.columns))]
-        found = met(other, kept, pred, SIDE_LEFT + SIDE_RIGHT - side, "inner").select(*[F.col(c).alias(v) for c, v in zip(kept.columns, at)]).distinct()
+        points, intervals, on = sides_of(other, kept, pred, SIDE_LEFT + SIDE_RIGHT - side, FEW)
+        found = intervals.join(points, on, "left_semi").select(*[F.col(c).alias(v) for c, v in zip(kept.columns, at)]).distinct()
         return kept.join(found, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(v)) for c, v in zip(kept.columns, at)]), how)
     if pred.search is not None:
         return met(kept, other, pred, side, how)

@@ -39,7 +39,7 @@ class Pred:
 
     ``range``: (operator, left operand, right operand) if it is a plain comparison of the two sides. ``search``: a comparison or an
     interval that all pairs satisfy. ``equi``: all pairs agree in some expression of each side. ``parts``: conditions of which one
-    holds for every pair. ``one_sided``: each side is judged by itself.
+    holds for every pair. ``one_sided``: each side is judged by itself. ``plain``: ``search`` is an interval and all that is asked.
     """
 
     column: Column
@@ -48,6 +48,7 @@ class Pred:
     equi: bool = False
     parts: tuple[Pred, ...] = ()
     one_sided: bool = False
+    plain: bool = False
 
     def indexed(self) -> bool:
         """Pairs are found without comparing all with all, or all with all are asked for."""
@@ -122,7 +123,7 @@ class On:
     def between(self, tested: Expr, low: Expr, high: Expr) -> Pred:
         both = self.all(self.gte(tested, low), self.lte(tested, high))
         if low.sides == high.sides and {tested.sides, low.sides} == {LEFT, RIGHT}:
-            return replace(both, search=Interval(tested.sides, tested.column, low.column, high.column))
+            return replace(both, search=Interval(tested.sides, tested.column, low.column, high.column), plain=True)
         return both
 
     def not_(self, pred: Pred) -> Pred:

@@ -1,6 +1,7 @@
 """Literal expected tables for every feature, and brute force for the predicate algebra."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from rowloom import Aux, Field, FieldCycleError, RecordSet, RecordStream, asc, d
 from rowloom.functions import analytics as an
 from rowloom.functions import collectors as co
 from rowloom.functions import scalars as sc
-from rowloom.operators import recipes
+from rowloom.operators import join, predicates, recipes
 from rowloom.sources import doubles, int_range, rows
 
 A, B, C, D = (Field(n, "int") for n in "ABCD")
@@ -410,3 +411,36 @@ def test_handlers_flags_and_spliterators(spark):
     assert int_range(spark, 0, 3).flat_map_to_double(lambda v: F.array(v, v + 1)).to_array() == [0.0, 1.0, 1.0, 2.0, 2.0, 3.0]
     a, b = ints(spark, 0, 5).to_record_set(), ints(spark, 0, 5).to_record_set()
     assert a == b and hash(a) == hash(b) and len({a, b}) == 1
+
+
+def _ranges(spark, monkeypatch):
+    """Many narrow and wide intervals, nulls, frequent values; ranges of about four rows."""
+    monkeypatch.setattr(join, "RANGE_ROWS", 4)
+    draw = random.Random(5)
+    some = lambda n: None if draw.random() < 0.1 else float(draw.choice([7, 7, 30, draw.randrange(n)]))
+    x, a, b, n, m = Field("x", "double"), Field("a", "double"), Field("b", "double"), Field("n", "int"), Field("m", "int")
+    left = [(i, some(60)) for i in range(90)]
+    right = [(i, low, low + draw.choice([-1, 0, 1, 2, 40]) if low is not None and draw.random() < 0.9 else None) for i in range(70) for low in [some(90)]]
+    return left, right, rows(spark, [n, x], left), rows(spark, [m, a, b], right), (x, a, b, n, m)
+
+
+def _kinds(one, two, on, left, right, n, m, holds):
+    pairs = [(i, k) for i, v in left for k, p, q in right if holds(v, p, q)]
+    lone = [(i, None) for i in {i for i, _ in left} - {i for i, _ in pairs}]
+    alone = [(None, k) for k in {k for k, *_ in right} - {k for _, k in pairs}]
+    assert sorted(map(str, map(tuple, one.full_join(two, on, lambda s: s.left_field(n).right_field(m)).to_array()))) == sorted(map(str, pairs + lone + alone))
+    assert {r[0] for r in one.left_any_match(two, on).to_array()} == {i for i, _ in pairs}
+
+
+def test_narrow_ranges_against_brute_force(spark, monkeypatch):
+    left, right, one, two, (x, a, b, n, m) = _ranges(spark, monkeypatch)
+    _kinds(one, two, lambda j: j.between(j.left(x), j.right(a), j.right(b)), left, right, n, m, lambda v, p, q: _low(p) <= _low(v) <= _low(q))
+    for op, holds in (("gt", lambda v, p, q: _low(v) > _low(p)), ("gte", lambda v, p, q: _low(v) >= _low(p)), ("lt", lambda v, p, q: _low(v) < _low(p)), ("lte", lambda v, p, q: _low(v) <= _low(p))):
+        _kinds(one, two, lambda j, op=op: getattr(j, op)(j.left(x), j.right(a)), left, right, n, m, holds)
+
+
+def test_intervals_meet_few_points_in_vain(spark):
+    points, intervals = spark.range(400_000).toDF("x"), spark.range(0, 400_000, 800).toDF("low")
+    pred = predicates.Pred(F.lit(True), search=predicates.Interval(predicates.LEFT, F.col("x"), F.col("low"), F.col("low") + 5))
+    n = join.met(points, intervals, pred, predicates.LEFT, "inner").count()  # the ranges alone
+    assert 500 * 6 <= n < 500 * 3 * 1024
