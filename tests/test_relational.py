@@ -444,3 +444,16 @@ def test_intervals_meet_few_points_in_vain(spark):
     pred = predicates.Pred(F.lit(True), search=predicates.Interval(predicates.LEFT, F.col("x"), F.col("low"), F.col("low") + 5))
     n = join.met(points, intervals, pred, predicates.LEFT, "inner").count()  # the ranges alone
     assert 500 * 6 <= n < 500 * 3 * 1024
+
+
+def test_intervals_and_points_alone_are_not_paired(spark):
+    """Whether there is a partner is settled without gathering partners, and without a copy in each range that an interval crosses."""
+    x, a, b = Field("x", "int"), Field("a", "int"), Field("b", "int")
+    points = ints(spark, 0, 3000, lambda i: i.field(x, lambda v: v * 2))
+    held = ints(spark, 0, 3000, lambda i: i.field(a, lambda v: v * 2 + 1).field(b, lambda v: v * 2 + 1 + F.when(v % 10 == 0, 5000).otherwise(0)))
+    lone = held.left_none_match(points, lambda j: j.between(j.right(x), j.left(a), j.left(b)))
+    lost = points.left_none_match(held, lambda j: j.between(j.left(x), j.right(a), j.right(b)))
+    for stream in (lone, lost):
+        plan = stream.df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Inner" not in plan and "explode(sequence" not in plan
+    assert lone.count() == 2700 and [r[0] for r in lost.to_array()] == [0]
