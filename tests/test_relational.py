@@ -446,6 +446,14 @@ def test_intervals_meet_few_points_in_vain(spark):
     assert 500 * 6 <= n < 500 * 3 * 1024
 
 
+def test_comparisons_that_nothing_meets(spark):
+    left, right = spark.range(100_000).toDF("x"), spark.range(100_000, 100_050).toDF("y")
+    pred = predicates.Pred(F.lit(True), search=("gt", F.col("x"), F.col("y")))
+    assert join.met(left, right, pred, predicates.LEFT, "inner").count() == 0  # the ranges alone
+    top = spark.range(2000).select(F.lit(99_999).alias("y"))
+    assert join.met(left, top, pred, predicates.LEFT, "inner").count() == 0
+
+
 def test_intervals_and_points_alone_are_not_paired(spark):
     """Whether there is a partner is settled without gathering partners, and without a copy in each range that an interval crosses."""
     x, a, b = Field("x", "int"), Field("a", "int"), Field("b", "int")
