@@ -454,6 +454,13 @@ def test_comparisons_that_nothing_meets(spark):
     assert join.met(left, top, pred, predicates.LEFT, "inner").count() == 0
 
 
+def test_ranges_of_one_file_are_joined_in_many_tasks(spark):
+    points, held = spark.range(0, 5000, 1, 1).select(F.col("id").alias("x")), spark.range(0, 50, 1, 1).select(F.col("id").alias("low"))
+    pred = predicates.Pred(F.col("x").between(F.col("low"), F.col("low") + 9), search=predicates.Interval(predicates.LEFT, F.col("x"), F.col("low"), F.col("low") + 9))
+    made = join.met(points, held, pred, predicates.LEFT, "inner")
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made.count() == 500
+
+
 def test_intervals_and_points_alone_are_not_paired(spark):
     """Whether there is a partner is settled without gathering partners, and without a copy in each range that an interval crosses."""
     x, a, b = Field("x", "int"), Field("a", "int"), Field("b", "int")
