@@ -25,6 +25,8 @@ _names = itertools.count()
 TIE = "__tie"
 #: Values are folded so many at a time.
 CHUNK = 1024
+#: Equal rows are made so many at a time.
+PIECE = 65_536
 
 
 class Ordered:
@@ -33,6 +35,7 @@ class Ordered:
     df: DataFrame
     order: list[tuple[SortKey, str]]
     _skipped: tuple[DataFrame, int] | None = None  # the rows before skip(n), and n
+    _few = False  # in one task by a limit
     _parallel = True
     _closers: tuple[Callable, ...] = ()
 
@@ -92,8 +95,11 @@ class Ordered:
         """Ordered: a bounded heap in each task and one merge, also after a skip."""
         if self._skipped:
             df, skipped = self._skipped
-            return self._with(self._with_tie(df)[0].orderBy(*self._sort_columns(), TIE).offset(skipped).limit(n).drop(TIE))
-        return self._with((self.df.orderBy(*self._sort_columns()) if self.order else self.df).limit(n))
+            made = self._with(self._with_tie(df)[0].orderBy(*self._sort_columns(), TIE).offset(skipped).limit(n).drop(TIE))
+        else:
+            made = self._with((self.df.orderBy(*self._sort_columns()) if self.order else self.df).limit(n))
+        made._few = True
+        return made
 
     def _with_tie(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
         """With a hash of all columns that orders rows whose keys tie, and the names of all that orders."""
@@ -124,11 +130,17 @@ class Ordered:
         ahead = found.where(before).agg(F.count(F.lit(1))).scalar()
         rest = found.where(after).drop(TIE, "__last")
         alike = found.where(~before & ~after).groupBy(*df.columns).agg((F.count(F.lit(1)) - (n - ahead)).alias("__n")).where("__n > 0")
-        out = rest.unionByName(alike.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n", "__copy"))
+        out = rest.unionByName(self._repeated(alike).select(*df.columns))
         made = self._with(out)
         made._skipped = (df, n)
         return made
 
+    def _repeated(self, df: DataFrame) -> DataFrame:
+        """Each row ``__n`` times, in pieces of PIECE that many tasks make: never as one array."""
+        pieces = df.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {PIECE}"))))
+        pieces = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__piece")
+        return pieces.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PIECE), F.col("__n") - F.col("__piece") * PIECE))))
+
     def _cut(self, predicate, taken: bool):
         """The first failing row is found by a top-1, and only its keys are compared: no global window. Ties with it come after it."""
         self._batch("take_while and drop_while")
@@ -195,6 +207,14 @@ class Ordered:
     def _rows(self) -> DataFrame:
         return (self.df.orderBy(*self._sort_columns()) if self.order else self.df).select(*self._own())
 
+    def _spread_rows(self) -> DataFrame:
+        """Sorted in as many tasks as shuffles have, for rows that are alike are small when merging is decided, and large when sorted.
+        Rows that tie go by the task they come from, not all into one."""
+        if not self.order or self._few:
+            return self._rows()
+        df, by = self.df.withColumn("__from", F.spark_partition_id()), [*self._sort_columns(), F.col("__from")]
+        return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).orderBy(*by).select(*self._own())
+
     def count(self) -> int:
         return self.df.count()
 
@@ -358,7 +378,9 @@ class RecordStream(Ordered):
         if windows:
             self._batch("a window function")
         df, header = select.apply(self.df, [] if windows else self._hidden())
-        return self._heir(RecordStream(df, header, [] if windows else self.order))
+        made = self._heir(RecordStream(df, header, [] if windows else self.order))
+        made._few = self._few
+        return made
 
     def aggregate(self, configure: Callable[[Aggregate], None]) -> RecordStream:
         aggregate = Aggregate(self._seen())
@@ -436,7 +458,7 @@ class RecordStream(Ordered):
         names = list(names) if names is not None else [f.name for f in self.header]
         if len(set(names)) != len(names):
             raise ValueError(f"columns of the same name: {names}")
-        return self._rows().toDF(*names)
+        return self._spread_rows().toDF(*names)
 
     def to_record_set(self):
         from .recordset import RecordSet
@@ -543,4 +565,4 @@ class Aux(Ordered):
         return self.df.agg(F.count(v).alias("count"), F.coalesce(F.sum(v), F.lit(0)).alias("sum"), F.coalesce(F.avg(v), F.lit(0.0)).alias("average"), F.min(v).alias("min"), F.max(v).alias("max"))
 
     def to_df(self) -> DataFrame:
-        return self._rows()
+        return self._spread_rows()

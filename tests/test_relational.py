@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom import Aux, Field, FieldCycleError, RecordSet, RecordStream, asc, desc
+from rowloom import Aux, Field, FieldCycleError, RecordSet, RecordStream, asc, desc, stream
 from rowloom.functions import analytics as an
 from rowloom.functions import collectors as co
 from rowloom.functions import scalars as sc
@@ -472,3 +472,17 @@ def test_intervals_and_points_alone_are_not_paired(spark):
         plan = stream.df._jdf.queryExecution().optimizedPlan().toString()
         assert "Join Inner" not in plan and "explode(sequence" not in plan
     assert lone.count() == 2700 and [r[0] for r in lost.to_array()] == [0]
+
+
+def test_rows_that_tie_are_made_and_sorted_in_many_tasks(spark, monkeypatch):
+    s = RecordStream.of(spark.range(0, 40_000, 1, 8).select((F.col("id") % 40_000 < 100).cast("int")), A).sorted(A)
+    sizes = [len(p) for p in s.to_df().rdd.glom().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 25_000
+    plan = s.to_df()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1
+    monkeypatch.setattr(stream, "PIECE", 1000)
+    left = s.skip(7000).skip(1)
+    assert [r[0] for r in left.to_df().collect()] == [0] * (39_900 - 7001) + [1] * 100
+    assert max(len(p) for p in left.df.rdd.glom().collect()) < 20_000  # before the sort
+    some = rows(spark, [A, B], [(v, i % 3) for i, v in enumerate(NULLABLE * 3)]).sorted(desc(B), A)
+    assert [tuple(r) for r in some.to_df().collect()] == [tuple(r) for r in some.to_array()]
